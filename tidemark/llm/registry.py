@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, sharding
+from . import pii, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_sharding": sharding.op2_sharding,
+    "op3_pii": pii.op3_pii,
 }
 ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality.OP1_SQL}
