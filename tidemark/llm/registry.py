@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii, quality, sharding
+from . import licenses, pii, quality, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_sharding": sharding.op2_sharding,
     "op3_pii": pii.op3_pii,
+    "op10_license_scan": licenses.op10_license_scan,
 }
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality.OP1_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality.OP1_SQL, "op10_license_scan": licenses.OP10_SQL}
