@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, near_dedup, order_minhash, pii, quality, sharding
+from . import licenses, near_dedup, order_minhash, pii, quality, sharding, suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pii": pii.op3_pii,
     "op5_order_minhash": order_minhash.op5_order_minhash,
     "op8_near_dedup": near_dedup.op8_near_dedup,
+    "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_license_scan": licenses.op10_license_scan,
 }
 ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality.OP1_SQL, "op10_license_scan": licenses.OP10_SQL}
