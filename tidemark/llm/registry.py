@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, near_dedup, order_minhash, pii, quality, sharding, suffix_dedup, toxicity
+from . import licenses, near_dedup, order_minhash, packing, pii, quality, sharding, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.op1_quality_rules,
     "op2_sharding": sharding.op2_sharding,
     "op3_pii": pii.op3_pii,
+    "op4_packing": packing.op4_packing,
     "op5_order_minhash": order_minhash.op5_order_minhash,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_near_dedup": near_dedup.op8_near_dedup,
