@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -74,29 +74,31 @@ def forest(adjacent: np.ndarray) -> list[tuple[int, int]]:
 def linked(tasks: DataFrame, group: str, alike: Callable[[pa.Table, pa.Table], np.ndarray]) -> DataFrame:
     """(a, b) long: for each block task a spanning forest of the rows that alike() finds alike.
 
-    tasks comes from in_blocks() and has a column ``node``. Whatever is connected stays
-    connected, yet a task never emits more edges than it has rows.
+    tasks comes from in_blocks() and has columns ``node`` and ``label``. Rows with equal labels
+    are known to be connected; edges join labels, and a task never emits more than it has labels.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in by_group(batches, (group, "i", "j")):
-            if t.num_rows < 2:
+            labels, place = np.unique(np.asarray(t["label"]), return_inverse=True)
+            if len(labels) < 2:
                 continue
             left = np.asarray(t["left"])
+            x = np.zeros((len(labels), len(labels)), dtype=bool)
             if t["i"][0].as_py() == t["j"][0].as_py():
-                x, nodes = alike(t, t).copy(), np.asarray(t["node"])
-                np.fill_diagonal(x, False)
+                a, b = np.nonzero(alike(t, t))
+                x[place[a], place[b]] = True
             else:
                 one, two = t.filter(pa.array(left)), t.filter(pa.array(~left))
                 if not one.num_rows or not two.num_rows:
                     continue
-                y, n = alike(one, two), one.num_rows
-                x = np.zeros((t.num_rows, t.num_rows), dtype=bool)
-                x[:n, n:], x[n:, :n] = y, y.T
-                nodes = np.concatenate([np.asarray(one["node"]), np.asarray(two["node"])])
+                a, b = np.nonzero(alike(one, two))
+                p, q = place[left][a], place[~left][b]
+                x[p, q] = x[q, p] = True
+            np.fill_diagonal(x, False)
             if edges := forest(x):
                 a, b = np.array(edges).T
-                yield pa.RecordBatch.from_arrays([pa.array(nodes[a]), pa.array(nodes[b])], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(labels[a]), pa.array(labels[b])], names=["a", "b"])
 
     return tasks.mapInArrow(run, "a long, b long")
 
@@ -122,6 +124,3 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
             return labels
     raise RuntimeError(f"components did not settle in {most} rounds")
 
-
-def hashed(*columns: str | Column) -> Column:
-    return F.xxhash64(*columns)

@@ -4,7 +4,8 @@
 2. Equal sets form one class (pre-aggregated), so copies cost nothing later.
 3. Classes that share a band meet in buckets; buckets with the same members are one. In a
    bucket, block tasks compare signatures and emit a spanning forest of the pairs whose
-   estimate comes near the limit. Components of these edges are candidate clusters.
+   estimate comes near the limit. Components of these edges are candidate clusters. The first
+   bands go ahead, so that most buckets of the others turn out to be within one cluster.
 4. In a cluster, block tasks compare the full sets of shingles exactly and emit a spanning
    forest of the true links; components of these are the result.
 
@@ -24,7 +25,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_arrow, read, splitmix, stored
@@ -34,6 +35,8 @@ from .superminhash import bands, signatures
 
 #: Signature slots, slots per band, and how far below the limit an estimate may lie.
 SLOTS, ROWS, MARGIN = 160, 5, 0.1125
+#: Bands that form the first clusters.
+EARLY = 8
 WORDS, LIMIT = 5, 80
 _SKETCH = "doc_id long, n_shingles long, node long, signature binary, bands array<long>"
 
@@ -130,6 +133,19 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     return map_arrow(docs, "node long, cluster long, size long, shingles binary", work)
 
 
+def _compared(classes: DataFrame, bands_: Column, least: int) -> DataFrame:
+    """Edges (a, b) between labels whose members share a band and have ``least`` equal slots.
+
+    Buckets of one label have nothing to add; of those with the same members one is enough.
+    """
+    entries = classes.select(F.explode(bands_).alias("bucket"), "node", "label")
+    held = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(3), "node")).alias("y"), F.min("label").alias("low"), F.max("label").alias("high"))
+    held = held.where("low < high").groupBy("size", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "size")
+    members = stored(entries.join(held, "bucket"), "members")
+    signed = members.join(classes.select("node", "signature"), "node")
+    return linked(in_blocks(signed, "bucket", "node", "size"), "bucket", _estimates(least))
+
+
 def groups(docs: DataFrame, words: int = WORDS, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -137,20 +153,21 @@ def groups(docs: DataFrame, words: int = WORDS, limit: int = LIMIT) -> DataFrame
     classes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
     classes = stored(classes, "classes")
 
-    # Buckets: band hashes that two or more classes have; of those with the same members one is enough.
-    entries = classes.select(F.explode("bands").alias("bucket"), "node")
-    held = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(3), "node")).alias("y")).where("size > 1")
-    held = held.groupBy("size", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "size")
-    members = stored(entries.join(held, "bucket"), "members")
+    # Candidate clusters. Once the first bands have formed clusters, a bucket of the other bands is
+    # compared only if its members lie in different ones, and only across these.
     least = math.ceil((limit / 100 - MARGIN) * SLOTS)
-    signed = members.join(classes.select("node", "signature"), "node")
-    near = components(linked(in_blocks(signed, "bucket", "node", "size"), "bucket", _estimates(least)))
+    early = stored(_compared(classes.withColumn("label", F.col("node")), F.slice("bands", 1, EARLY), least), "near")
+    labels = components(early).withColumnRenamed("label", "known")
+    known = classes.join(labels, "node", "left").withColumn("label", F.coalesce("known", "node"))
+    late = _compared(known, F.slice("bands", EARLY + 1, SLOTS // ROWS - EARLY), least)
+    near = components(early.union(late))
 
     # Clusters: full sets, compared exactly.
     sizes = near.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
     clustered = near.join(sizes, "label").join(classes.select("node", "first_id"), "node").select("node", F.col("label").alias("cluster"), "size", F.col("first_id").alias("doc_id"))
     texts = docs.join(clustered, "doc_id").select("node", "cluster", "size", "text")
-    true = components(linked(in_blocks(_sets(texts, words), "cluster", "node", "size"), "cluster", _exact(limit)))
+    sets = _sets(texts, words).withColumn("label", F.col("node"))
+    true = components(linked(in_blocks(sets, "cluster", "node", "size"), "cluster", _exact(limit)))
 
     # A component's id is the least doc_id of its classes.
     named = true.join(classes.select("node", "first_id"), "node")
