@@ -75,9 +75,9 @@ def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray,
     if len(short):
         whole = []
         for r in short:
-            h = np.uint64(n[r])
-            for w in words[first[r] : first[r] + n[r]]:
-                h = splitmix(np.array([h * np.uint64(5) ^ w], dtype=np.uint64))[0]
+            h = int(n[r])
+            for w in words[first[r] : first[r] + n[r]].tolist():
+                h = int(splitmix(np.array([h * 5 + w & 0xFFFFFFFFFFFFFFFF], dtype=np.uint64))[0])
             whole.append(h)
         hashes, owner = np.append(hashes, np.array(whole, np.uint64)), np.append(owner, short)
     order = np.lexsort((hashes, owner))
