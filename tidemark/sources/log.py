@@ -48,7 +48,7 @@ class Log:
 def replay_text_log(lines: DataFrame) -> DataFrame:
     """(nth, key, payload) of lines ``key TAB base64``, in log order; a bad line raises an error."""
     parts = F.split("value", "\t", 2)
-    return lines.select(F.element_at(parts, 1).alias("key"), F.unbase64(F.element_at(parts, 2)).cast("string").alias("payload"))
+    return lines.select(F.element_at(parts, 1).alias("key"), F.to_binary(F.element_at(parts, 2), F.lit("base64")).cast("string").alias("payload"))
 
 
 def to_text_log(df: DataFrame, key: str, payload: str) -> DataFrame:
