@@ -14,7 +14,7 @@ id. Suffixes of the whole corpus can't be sorted in one place, so they are dealt
    order (the previous smaller position) matches to that depth exactly if an earlier copy exists.
 4. The covered runs come back to the documents by id and are cut out.
 
-Texts cross the network once: both joins read the same exchange.
+Texts cross the network once: both joins read the same exchange, so both take all columns.
 
 Defined cases: a null text is empty; texts under WIDTH bytes lose nothing; rows with equal ids
 don't count as each other's copies, and if their texts differ the runs found for the id apply to
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, splitmix
 from .grouping import by_group
 
 WIDTH, GRAM = 50, 16
@@ -149,21 +149,43 @@ def unpack(blob: bytes, columns: int) -> list[np.ndarray]:
     return [np.ascontiguousarray(raw[i * 8 * n : (i + 1) * 8 * n].reshape(8, n).T).view(np.int64).ravel() for i in range(columns)]
 
 
-_ROWS = "bucket int, kind int, doc_id long, payload binary"
-_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("payload", pa.binary())])
+_ROWS = "bucket int, kind int, payload binary"
+_ARROW = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
 
 
-def _rows(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
 
-def _per_doc(doc: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """(id, packed columns) for each document."""
-    order = np.argsort(doc, kind="stable")
-    doc, columns = doc[order], [c[order] for c in columns]
-    cuts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1], [True]])) if len(doc) else [0]
+def _per_target(buckets: int, doc: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(target, packed ids and columns): a target is a bucket of documents, so that a task sends
+    a few packs and not a row for each document that it has something on."""
+    if not len(doc):
+        return
+    to = (splitmix(doc.astype(np.int64).view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((doc, to))
+    to, doc, columns = to[order], doc[order], [c[order] for c in columns]
+    cuts = _groups(to)
     for a, b in zip(cuts, cuts[1:], strict=False):
-        yield int(doc[a]), b"".join(_plain(c[a:b]) for c in columns)
+        yield int(to[a]), pack(doc[a:b], *(c[a:b] for c in columns))
+
+
+def _by_doc(columns: int):
+    """(doc_id, payload) once for each document of a target, from all packs on it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in by_group(batches, ("bucket",)):
+            parts = [unpack(x, 1 + columns) for x in t["payload"].to_pylist()]
+            doc, *rest = (np.concatenate([p[i] for p in parts]) for i in range(1 + columns))
+            order = np.argsort(doc, kind="stable")
+            doc, rest = doc[order], [c[order] for c in rest]
+            cuts = _groups(doc)
+            rows = [(int(doc[a]), b"".join(_plain(c[a:b]) for c in rest)) for a, b in zip(cuts, cuts[1:], strict=False)]
+            for i in range(0, len(rows), 4096):
+                ids, blobs = zip(*rows[i : i + 4096], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "payload"])
+
+    return run
 
 
 def _plain(c: np.ndarray) -> bytes:
@@ -200,7 +222,7 @@ def _offered(buckets: int):
         cuts = _groups(key)
         size = np.diff(cuts)
         shared = np.repeat(doc[cuts[:-1]] != doc[cuts[1:] - 1], size)
-        rows = [(int(d % buckets), 0, d, blob) for d, blob in _per_doc(doc[shared], at[shared])]
+        rows = [(t, 0, blob) for t, blob in _per_target(buckets, doc[shared], at[shared])]
         told = np.flatnonzero(shared & np.concatenate([[True], key[1:] != key[:-1]]))
         flag = np.zeros(len(key), dtype=np.int64)
         flag[told] = 1
@@ -212,7 +234,7 @@ def _offered(buckets: int):
         cuts = _groups(to)
         for a, b in zip(cuts, cuts[1:], strict=False):
             k = key[a:b].astype(np.int64)
-            rows.append((int(to[a]), 1, 0, pack(np.diff(k, prepend=0), doc[a:b], at[a:b] * 2 + flag[a:b])))
+            rows.append((int(to[a]), 1, pack(np.diff(k, prepend=0), doc[a:b], at[a:b] * 2 + flag[a:b])))
         for i in range(0, len(rows), 4096):
             yield _rows(rows[i : i + 4096])
 
@@ -233,29 +255,31 @@ def _offered(buckets: int):
     return run
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, places) of the anchors that a bucket has from two documents."""
-    names = ["doc_id", "places"]
-    for t in by_group(batches, ("bucket", "kind")):
-        if t["kind"][0].as_py() == 0:
-            for b in t.select(["doc_id", "payload"]).rename_columns(names).to_batches():
-                yield b
-            continue
-        parts = [unpack(x, 3) for x in t["payload"].to_pylist()]
-        key = np.concatenate([np.cumsum(p[0]) for p in parts])
-        doc, at = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
-        flag, at = at & 1, at >> 1
-        order = np.argsort(key, kind="stable")
-        key, doc, at, flag = key[order], doc[order], at[order], flag[order]
-        cuts = _groups(key)
-        size = np.diff(cuts)
-        real = flag == 0
-        low = np.minimum.reduceat(np.where(real, doc, np.iinfo(np.int64).max), cuts[:-1])
-        high = np.maximum.reduceat(np.where(real, doc, np.iinfo(np.int64).min), cuts[:-1])
-        shared = np.repeat((np.add.reduceat(flag, cuts[:-1]) > 0) | (low < high), size) & real
-        out = list(_per_doc(doc[shared], at[shared]))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=names)
+def _met(buckets: int):
+    """(target, places) of the anchors that a bucket has from two documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in by_group(batches, ("bucket", "kind")):
+            if t["kind"][0].as_py() == 0:
+                yield from t.to_batches()
+                continue
+            parts = [unpack(x, 3) for x in t["payload"].to_pylist()]
+            key = np.concatenate([np.cumsum(p[0]) for p in parts])
+            doc, at = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
+            flag, at = at & 1, at >> 1
+            order = np.argsort(key, kind="stable")
+            key, doc, at, flag = key[order], doc[order], at[order], flag[order]
+            cuts = _groups(key)
+            size = np.diff(cuts)
+            real = flag == 0
+            low = np.minimum.reduceat(np.where(real, doc, np.iinfo(np.int64).max), cuts[:-1])
+            high = np.maximum.reduceat(np.where(real, doc, np.iinfo(np.int64).min), cuts[:-1])
+            shared = np.repeat((np.add.reduceat(flag, cuts[:-1]) > 0) | (low < high), size) & real
+            out = [(to, 0, blob) for to, blob in _per_target(buckets, doc[shared], at[shared])]
+            if out:
+                yield _rows(out)
+
+    return run
 
 
 # --- steps 2 and 3: segments, suffix order, previous factors ---------------------------------
@@ -279,13 +303,13 @@ def _sent(buckets: int):
         rows = []
         if covered:
             doc, a, b = (np.array(c, dtype=np.int64) for c in zip(*covered, strict=True))
-            rows = [(int(d % buckets), 0, d, blob) for d, blob in _per_doc(doc, a, b)]
+            rows = [(t, 0, blob) for t, blob in _per_target(buckets, doc, a, b)]
         for bucket, entries in out.items():
             key, doc, at = (np.array([e[i] for e in entries], dtype=np.int64) for i in range(3))
             size = np.array([len(e[3]) for e in entries], dtype=np.int64)
             head = pack(key, doc, at, size)
             body = pa.compress(b"".join(e[3] for e in entries), codec="zstd", asbytes=True)
-            rows.append((bucket, 1, 0, len(head).to_bytes(8, "little") + head + int(size.sum()).to_bytes(8, "little") + body))
+            rows.append((bucket, 1, len(head).to_bytes(8, "little") + head + int(size.sum()).to_bytes(8, "little") + body))
         for i in range(0, len(rows), 2048):
             yield _rows(rows[i : i + 2048])
 
@@ -303,7 +327,7 @@ def _sent(buckets: int):
                 a, b = cuts[r], cuts[r + 1]
                 if a == b:
                     continue
-                wanted = np.concatenate([p for blob in place[r].as_py() for p in _plains(blob)])
+                wanted = _plains(place[r].as_py())[0]
                 use = a + np.flatnonzero(np.isin(at[a:b], wanted))
                 start, doc = int(offsets[r]), int(ids[r])
                 for k, i, j in zip(key[use].tolist(), lo[use].tolist(), hi[use].tolist(), strict=True):
@@ -355,63 +379,65 @@ def previous_factors(data: np.ndarray, starts: np.ndarray, owner: np.ndarray, wi
     return out
 
 
-def _factored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, runs) of covered bytes, from a bucket's segments."""
-    names = ["doc_id", "runs"]
-    for t in by_group(batches, ("bucket", "kind")):
-        if t["kind"][0].as_py() == 0:
-            yield from t.select(["doc_id", "payload"]).rename_columns(names).to_batches()
-            continue
-        merged: dict = {}
-        for blob in t["payload"].to_pylist():
-            n = int.from_bytes(blob[:8], "little")
-            key, doc, at, size = unpack(blob[8 : 8 + n], 4)
-            total = int.from_bytes(blob[8 + n : 16 + n], "little")
-            body = pa.decompress(blob[16 + n :], decompressed_size=total, codec="zstd", asbytes=True)
-            ends = np.cumsum(size)
-            for k, d, i, a, b in zip(key.tolist(), doc.tolist(), at.tolist(), (ends - size).tolist(), ends.tolist(), strict=True):
-                merged.setdefault(k, {}).setdefault(body[a:b], []).append((d, i))
-        covered: list[tuple[int, int, int]] = []
-        first: list[tuple[int, bytes, list]] = []
-        for contents in merged.values():
-            for content, seen in contents.items():
-                least = min(seen)[0]
-                covered += [(d, i, i + len(content)) for d, i in seen if d > least]
-                if len(contents) > 1:
-                    first.append((least, content, [i for d, i in seen if d == least]))
-        if first:
-            first.sort(key=lambda x: x[0])
-            data = np.frombuffer(b"".join(f[1] for f in first), dtype=np.uint8)
-            size = np.array([len(f[1]) for f in first], dtype=np.int64)
-            windows = size - WIDTH + 1
-            begin = np.cumsum(size) - size
-            which = np.repeat(np.arange(len(first)), windows)
-            offset = np.arange(len(which)) - np.repeat(np.cumsum(windows) - windows, windows)
-            owner = np.array([f[0] for f in first], dtype=np.int64)
-            hit = previous_factors(data, begin[which] + offset, owner[which])
-            edge = np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8))
-            # Runs of covered windows; those that reach over a segment's end are parted there.
-            for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
-                while a < b:
-                    f = int(which[a])
-                    stop = min(b, a + int(windows[f] - offset[a]))
-                    covered += [(first[f][0], i + int(offset[a]), i + int(offset[stop - 1]) + WIDTH) for i in first[f][2]]
-                    a = stop
-        if covered:
-            doc, a, b = (np.array(c, dtype=np.int64) for c in zip(*covered, strict=True))
-            out = list(_per_doc(doc, a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], names=names)
+def _factored(buckets: int):
+    """(target, runs) of covered bytes, from a bucket's segments."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in by_group(batches, ("bucket", "kind")):
+            if t["kind"][0].as_py() == 0:
+                yield from t.to_batches()
+                continue
+            merged: dict = {}
+            for blob in t["payload"].to_pylist():
+                n = int.from_bytes(blob[:8], "little")
+                key, doc, at, size = unpack(blob[8 : 8 + n], 4)
+                total = int.from_bytes(blob[8 + n : 16 + n], "little")
+                body = pa.decompress(blob[16 + n :], decompressed_size=total, codec="zstd", asbytes=True)
+                ends = np.cumsum(size)
+                for k, d, i, a, b in zip(key.tolist(), doc.tolist(), at.tolist(), (ends - size).tolist(), ends.tolist(), strict=True):
+                    merged.setdefault(k, {}).setdefault(body[a:b], []).append((d, i))
+            covered: list[tuple[int, int, int]] = []
+            first: list[tuple[int, bytes, list]] = []
+            for contents in merged.values():
+                for content, seen in contents.items():
+                    least = min(seen)[0]
+                    covered += [(d, i, i + len(content)) for d, i in seen if d > least]
+                    if len(contents) > 1:
+                        first.append((least, content, [i for d, i in seen if d == least]))
+            if first:
+                first.sort(key=lambda x: x[0])
+                data = np.frombuffer(b"".join(f[1] for f in first), dtype=np.uint8)
+                size = np.array([len(f[1]) for f in first], dtype=np.int64)
+                windows = size - WIDTH + 1
+                begin = np.cumsum(size) - size
+                which = np.repeat(np.arange(len(first)), windows)
+                offset = np.arange(len(which)) - np.repeat(np.cumsum(windows) - windows, windows)
+                owner = np.array([f[0] for f in first], dtype=np.int64)
+                hit = previous_factors(data, begin[which] + offset, owner[which])
+                edge = np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8))
+                # Runs of covered windows; those that reach over a segment's end are parted there.
+                for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
+                    while a < b:
+                        f = int(which[a])
+                        stop = min(b, a + int(windows[f] - offset[a]))
+                        covered += [(first[f][0], i + int(offset[a]), i + int(offset[stop - 1]) + WIDTH) for i in first[f][2]]
+                        a = stop
+            if covered:
+                doc, a, b = (np.array(c, dtype=np.int64) for c in zip(*covered, strict=True))
+                yield _rows([(to, 0, blob) for to, blob in _per_target(buckets, doc, a, b)])
+
+    return run
 
 
 # --- step 4: what remains --------------------------------------------------------------------
 
 
-def merged_runs(blobs: list[bytes] | None, n: int) -> list[tuple[int, int]]:
+def merged_runs(blob: bytes | None, n: int) -> list[tuple[int, int]]:
     """Maximal covered runs within n bytes."""
-    if not blobs:
+    if not blob:
         return []
-    parts = [_plains(b) for b in blobs]
-    a, b = np.concatenate([p[0] for p in parts]), np.minimum(np.concatenate([p[1] for p in parts]), n)
+    a, b = _plains(blob)
+    b = np.minimum(b, n)
     order = np.argsort(a, kind="stable")
     a, b = a[order], np.maximum.accumulate(b[order])
     new = np.concatenate([[True], a[1:] > b[:-1]])
@@ -420,18 +446,21 @@ def merged_runs(blobs: list[bytes] | None, n: int) -> list[tuple[int, int]]:
 
 
 def with_runs(docs: DataFrame) -> DataFrame:
-    """The rows of docs (doc_id, text) with ``runs``: packed covered runs, null where there are none."""
+    """The rows of docs with ``runs``: packed covered runs, null where there are none."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dealt = rows.repartition(parts, "doc_id")
+    more = [c for c in docs.columns if c not in ("doc_id", "text")]
+    whole = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+    rows = whole.select("doc_id", "text")
+    dealt = whole.repartition(parts, "doc_id")
     buckets = 4 * parts  # several to a partition, which evens the load
-    offered = rows.mapInArrow(_offered(buckets), _ROWS).repartition(parts, "bucket").sortWithinPartitions("bucket", "kind")
-    places = offered.mapInArrow(_met, "doc_id long, places binary").groupBy("doc_id").agg(F.collect_list("places").alias("places"))
-    sent = dealt.join(places, "doc_id").select("doc_id", "text", "places").mapInArrow(_sent(buckets), _ROWS)
-    sent = sent.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind")
-    runs = sent.mapInArrow(_factored, "doc_id long, runs binary").groupBy("doc_id").agg(F.collect_list("runs").alias("runs"))
-    return dealt.join(runs, "doc_id", "left").select("doc_id", "text", "runs")
+    by_bucket = lambda df: df.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind")
+    met = by_bucket(rows.mapInArrow(_offered(buckets), _ROWS)).mapInArrow(_met(buckets), _ROWS)
+    places = by_bucket(met).mapInArrow(_by_doc(1), "doc_id long, payload binary").withColumnRenamed("payload", "places")
+    sent = dealt.join(places, "doc_id").select("doc_id", "text", "places", *more).mapInArrow(_sent(buckets), _ROWS)
+    found = by_bucket(sent).mapInArrow(_factored(buckets), _ROWS)
+    runs = by_bucket(found).mapInArrow(_by_doc(2), "doc_id long, payload binary").withColumnRenamed("payload", "runs")
+    return dealt.join(runs, "doc_id", "left").select("doc_id", "text", "runs", *more)
 
 
 _DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -455,16 +484,16 @@ def digests(docs: DataFrame) -> DataFrame:
             kinds = [pa.int64()] * 4 + [pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return with_runs(docs).mapInArrow(run, _DIGEST)
+    return with_runs(docs.select("doc_id", "text")).mapInArrow(run, _DIGEST)
 
 
-def cut_text(text: str | None, blobs: list[bytes] | None) -> str | None:
+def cut_text(text: str | None, blob: bytes | None) -> str | None:
     """The text without its covered runs; a run gives back bytes of characters that it covers in part."""
-    if text is None or not blobs:
+    if text is None or not blob:
         return text
     data = text.encode()
     out, at = [], 0
-    for a, b in merged_runs(blobs, len(data)):
+    for a, b in merged_runs(blob, len(data)):
         while a < b and data[a] & 0xC0 == 0x80:
             a += 1
         while b > a and b < len(data) and data[b] & 0xC0 == 0x80:
@@ -476,13 +505,13 @@ def cut_text(text: str | None, blobs: list[bytes] | None) -> str | None:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id and the remaining text."""
+    """The rows of docs with all their columns, texts without what an earlier document has."""
 
     def cut(texts: pa.Array, runs: pa.Array) -> pa.Array:
         return pa.array([cut_text(t, r) for t, r in zip(texts.to_pylist(), runs.to_pylist(), strict=True)], pa.string())
 
-    rows = with_runs(docs)
-    return rows.select(F.nullif("doc_id", F.lit(_NO_ID)).alias("doc_id"), F.arrow_udf(cut, "string")("text", "runs").alias("text"))
+    rows = with_runs(docs).withColumn("text", F.arrow_udf(cut, "string")("text", "runs")).withColumn("doc_id", F.nullif("doc_id", F.lit(_NO_ID)))
+    return rows.select(*docs.columns)
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
