@@ -16,6 +16,8 @@ windows as they need; repeated rows and ids are packed one by one; an empty tabl
 from __future__ import annotations
 
 import re
+import sys
+import types
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -29,8 +31,8 @@ from .common import read, stored
 
 LENGTH, END = 2048, 1
 TOKENIZER = "word_bpe_49k.json"
-#: Words whose ids a task remembers.
-MEMORY = 400_000
+#: Words whose ids a process remembers.
+MEMORY = 1_000_000
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -39,8 +41,19 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-def encoder(path: str) -> Callable[[str], bytes]:
-    """A function from a text to its ids as unsigned 16-bit little-endian numbers."""
+def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
+    """A function from texts to their ids as unsigned 16-bit little-endian numbers.
+
+    One per process and file: tasks that follow one another in a worker share what it remembers.
+    """
+    memory = sys.modules.setdefault("_tidemark_memory", types.ModuleType("_tidemark_memory"))
+    held = memory.__dict__.setdefault("encoders", {})
+    if path not in held:
+        held[path] = _encoder(path)
+    return held[path]
+
+
+def _encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
@@ -50,64 +63,50 @@ def encoder(path: str) -> Callable[[str], bytes]:
     for piece, i in tok.get_vocab().items():
         ends[i] = piece.endswith("</w>")
     known: dict[bytes, bytes] = {}
-    bare: dict[str, bytes] = {}
+    bare: dict[str, bytes] = {"": b""}
     # Letters, then marks that the tokenizer always parts from them: two tokens' worth of ids, joined.
-    plain = re.compile(r"([^\W\d_]+)([.,!?;:|]*)")
+    plain = re.compile(r"([^\W\d_]+)([.,!?;:|]*)").fullmatch
 
     def encode(texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u2").tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(words: list[bytes]) -> None:
-        """Remembers the ids of words that aren't known."""
-        split: dict[bytes, tuple[str, str]] = {}
+        if not words:
+            return
+        split: list[tuple[bytes, str, str]] = []
         odd: list[bytes] = []
-        wanted: dict[str, None] = {}
-        for w in words:
-            s = w.decode()
-            m = plain.fullmatch(s)
+        for w, s in zip(words, b" ".join(words).decode().split(" "), strict=True):
+            m = plain(s)
             if m and "Σ" not in s and "İ" not in s:
-                core = m[1].lower()
-                split[w] = core, m[2]
-                for x in (core, m[2]):
-                    if x and x not in bare:
-                        wanted[x] = None
+                split.append((w, m[1].lower(), m[2]))
             else:
                 odd.append(w)
-        names = list(wanted)
+        names = list(({c for _, c, _ in split} | {t for _, _, t in split}).difference(bare))
         for at in range(0, len(names), 512):
             part = names[at : at + 512]
-            ids = np.array(tok.encode(" ".join(part), add_special_tokens=False).ids, dtype="<u2")
-            cuts = np.flatnonzero(ends[ids]) + 1
+            ids = np.array(tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u2")
+            cuts = (2 * (np.flatnonzero(ends[ids]) + 1)).tolist()
             if len(cuts) == len(part):
-                for x, a, b in zip(part, [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
-                    bare[x] = ids[a:b].tobytes()
+                raw = ids.tobytes()
+                bare.update(zip(part, [raw[a:b] for a, b in zip([0, *cuts], cuts, strict=False)], strict=True))
             else:  # some word made several tokens' worth: each for itself
                 bare.update(zip(part, encode(part), strict=True))
-        for w, (core, tail) in split.items():
-            known[w] = bare[core] + (bare[tail] if tail else b"")
+        for w, core, tail in split:
+            known[w] = bare[core] + bare[tail] if tail else bare[core]
         for at in range(0, len(odd), 512):
             part = odd[at : at + 512]
             known.update(zip(part, encode([w.decode() for w in part]), strict=True))
 
-    def ids_of(text: str) -> bytes:
-        words = text.encode().split()
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        if len(known) > MEMORY:
-            known.clear(), bare.clear()
-        learn(list(dict.fromkeys(w for w in words if w not in known)))
-        return b"".join([known[w] for w in words])
-
-    def prepare(texts: list[str]) -> None:
-        """Learns the words of many texts at once."""
-        fresh = {w for t in texts for w in t.encode().split()}
+    def ids_of(texts: list[str]) -> list[bytes]:
+        words = [t.encode().split() for t in texts]
+        fresh = set().union(*words).difference(known)
         if len(known) + len(fresh) > MEMORY:
             known.clear(), bare.clear()
-        learn([w for w in fresh if w not in known])
+            bare[""] = b""
+            fresh = set().union(*words)
+        learn(list(fresh))
+        return [b"".join(map(known.__getitem__, ws)) for ws in words]
 
-    ids_of.prepare = prepare
     return ids_of
 
 
@@ -124,8 +123,7 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
             texts = batch.column(1).to_pylist()
             for lo in range(0, len(texts), 500):
                 group = [t or "" for t in texts[lo : lo + 500]]
-                ids_of.prepare(group)
-                ids = [ids_of(t) + end for t in group]
+                ids = [x + end for x in ids_of(group)]
                 n = np.array([len(x) // 2 for x in ids], dtype=np.int64)
                 starts = at + np.cumsum(n) - n
                 at += int(n.sum())
