@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, near_dedup, order_minhash, packing, pii, quality, sharding, suffix_dedup, toxicity
+from . import licenses, near_dedup, order_minhash, packing, pii, quality, sentencepiece_sa, sharding, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": quality.op1_quality_rules,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pii": pii.op3_pii,
     "op4_packing": packing.op4_packing,
     "op5_order_minhash": order_minhash.op5_order_minhash,
+    "op6_sentencepiece": sentencepiece_sa.op6_sentencepiece,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_near_dedup": near_dedup.op8_near_dedup,
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
