@@ -37,7 +37,7 @@ from .grouping import by_group
 
 WIDTH, GRAM = 50, 16
 #: Bytes hashed at a time (positions must fit _AT bits), and bytes of text a map task merges before it packs.
-PIECE, UNIT = 1 << 20, 48 << 20
+PIECE, UNIT = 1 << 18, 32 << 20
 _AT = 21
 _NO_ID = -(1 << 63)
 
@@ -157,12 +157,12 @@ def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
 
-def _per_target(buckets: int, doc: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
+def _per_target(targets: int, doc: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """(target, packed ids and columns): a target is a bucket of documents, so that a task sends
     a few packs and not a row for each document that it has something on."""
     if not len(doc):
         return
-    to = (splitmix(doc.astype(np.int64).view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    to = (splitmix(doc.astype(np.int64).view(np.uint64)) % np.uint64(targets)).astype(np.int64)
     order = np.lexsort((doc, to))
     to, doc, columns = to[order], doc[order], [c[order] for c in columns]
     cuts = _groups(to)
@@ -209,7 +209,7 @@ def _groups(sorted_: np.ndarray) -> np.ndarray:
 # --- step 1: anchors that two documents have -------------------------------------------------
 
 
-def _offered(buckets: int):
+def _offered(buckets: int, targets: int):
     """Packs a task's anchors by bucket. Those that two of its own documents have are known to be
     shared: their places go straight on (kind 0), and one entry without a document tells others."""
 
@@ -222,7 +222,7 @@ def _offered(buckets: int):
         cuts = _groups(key)
         size = np.diff(cuts)
         shared = np.repeat(doc[cuts[:-1]] != doc[cuts[1:] - 1], size)
-        rows = [(t, 0, blob) for t, blob in _per_target(buckets, doc[shared], at[shared])]
+        rows = [(t, 0, blob) for t, blob in _per_target(targets, doc[shared], at[shared])]
         told = np.flatnonzero(shared & np.concatenate([[True], key[1:] != key[:-1]]))
         flag = np.zeros(len(key), dtype=np.int64)
         flag[told] = 1
@@ -255,7 +255,7 @@ def _offered(buckets: int):
     return run
 
 
-def _met(buckets: int):
+def _met(targets: int):
     """(target, places) of the anchors that a bucket has from two documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,7 +275,7 @@ def _met(buckets: int):
             low = np.minimum.reduceat(np.where(real, doc, np.iinfo(np.int64).max), cuts[:-1])
             high = np.maximum.reduceat(np.where(real, doc, np.iinfo(np.int64).min), cuts[:-1])
             shared = np.repeat((np.add.reduceat(flag, cuts[:-1]) > 0) | (low < high), size) & real
-            out = [(to, 0, blob) for to, blob in _per_target(buckets, doc[shared], at[shared])]
+            out = [(to, 0, blob) for to, blob in _per_target(targets, doc[shared], at[shared])]
             if out:
                 yield _rows(out)
 
@@ -285,7 +285,7 @@ def _met(buckets: int):
 # --- steps 2 and 3: segments, suffix order, previous factors ---------------------------------
 
 
-def _sent(buckets: int):
+def _sent(buckets: int, targets: int):
     """Segments around shared anchors, packed by bucket. Of equal ones the first document's goes on;
     later documents' are covered for certain (kind 0)."""
 
@@ -303,7 +303,7 @@ def _sent(buckets: int):
         rows = []
         if covered:
             doc, a, b = (np.array(c, dtype=np.int64) for c in zip(*covered, strict=True))
-            rows = [(t, 0, blob) for t, blob in _per_target(buckets, doc, a, b)]
+            rows = [(t, 0, blob) for t, blob in _per_target(targets, doc, a, b)]
         for bucket, entries in out.items():
             key, doc, at = (np.array([e[i] for e in entries], dtype=np.int64) for i in range(3))
             size = np.array([len(e[3]) for e in entries], dtype=np.int64)
@@ -379,7 +379,7 @@ def previous_factors(data: np.ndarray, starts: np.ndarray, owner: np.ndarray, wi
     return out
 
 
-def _factored(buckets: int):
+def _factored(targets: int):
     """(target, runs) of covered bytes, from a bucket's segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -424,7 +424,7 @@ def _factored(buckets: int):
                         a = stop
             if covered:
                 doc, a, b = (np.array(c, dtype=np.int64) for c in zip(*covered, strict=True))
-                yield _rows([(to, 0, blob) for to, blob in _per_target(buckets, doc, a, b)])
+                yield _rows([(to, 0, blob) for to, blob in _per_target(targets, doc, a, b)])
 
     return run
 
@@ -446,21 +446,22 @@ def merged_runs(blob: bytes | None, n: int) -> list[tuple[int, int]]:
 
 
 def with_runs(docs: DataFrame) -> DataFrame:
-    """The rows of docs with ``runs``: packed covered runs, null where there are none."""
+    """doc_id, text, runs (packed covered runs, null where there are none) and the rest as a struct."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     more = [c for c in docs.columns if c not in ("doc_id", "text")]
-    whole = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+    rest = F.struct(*more) if more else F.lit(None)
+    whole = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"), rest.alias("rest"))
     rows = whole.select("doc_id", "text")
     dealt = whole.repartition(parts, "doc_id")
     buckets = 4 * parts  # several to a partition, which evens the load
     by_bucket = lambda df: df.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind")
-    met = by_bucket(rows.mapInArrow(_offered(buckets), _ROWS)).mapInArrow(_met(buckets), _ROWS)
+    met = by_bucket(rows.mapInArrow(_offered(buckets, parts), _ROWS)).mapInArrow(_met(parts), _ROWS)
     places = by_bucket(met).mapInArrow(_by_doc(1), "doc_id long, payload binary").withColumnRenamed("payload", "places")
-    sent = dealt.join(places, "doc_id").select("doc_id", "text", "places", *more).mapInArrow(_sent(buckets), _ROWS)
-    found = by_bucket(sent).mapInArrow(_factored(buckets), _ROWS)
+    sent = dealt.join(places, "doc_id").select("doc_id", "text", "places", "rest").mapInArrow(_sent(buckets, parts), _ROWS)
+    found = by_bucket(sent).mapInArrow(_factored(parts), _ROWS)
     runs = by_bucket(found).mapInArrow(_by_doc(2), "doc_id long, payload binary").withColumnRenamed("payload", "runs")
-    return dealt.join(runs, "doc_id", "left").select("doc_id", "text", "runs", *more)
+    return dealt.join(runs, "doc_id", "left").select("doc_id", "text", "runs", "rest")
 
 
 _DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -510,8 +511,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     def cut(texts: pa.Array, runs: pa.Array) -> pa.Array:
         return pa.array([cut_text(t, r) for t, r in zip(texts.to_pylist(), runs.to_pylist(), strict=True)], pa.string())
 
-    rows = with_runs(docs).withColumn("text", F.arrow_udf(cut, "string")("text", "runs")).withColumn("doc_id", F.nullif("doc_id", F.lit(_NO_ID)))
-    return rows.select(*docs.columns)
+    own = {"doc_id": F.nullif("doc_id", F.lit(_NO_ID)), "text": F.arrow_udf(cut, "string")("text", "runs")}
+    return with_runs(docs).select(*[own[c].alias(c) if c in own else F.col("rest")[c].alias(c) for c in docs.columns])
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
