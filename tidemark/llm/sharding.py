@@ -55,12 +55,12 @@ def slot_of(key: Column, slots: int = SLOTS) -> Column:
 
 
 def placed(df: DataFrame, key: str, shards: int | tuple[str, ...] = SHARDS, slots: int = SLOTS) -> DataFrame:
-    """Adds slot and shard (an index into shards). The broadcast side has exactly ``slots`` rows."""
+    """Adds slot and shard (an index into shards), in place of columns of these names. The broadcast side has exactly ``slots`` rows."""
     names = tuple(f"shard-{i}" for i in range(shards)) if isinstance(shards, int) else shards
     table = lookup_table(names, slots)
     spark = df.sparkSession
     rows = spark.createDataFrame([(i, int(k)) for i, k in enumerate(table)], "slot int, shard int")
-    return df.withColumn("slot", slot_of(F.col(key), slots)).join(F.broadcast(rows), "slot", "left")
+    return df.drop("slot", "shard").withColumn("slot", slot_of(F.col(key), slots)).join(F.broadcast(rows), "slot", "left")
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
