@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import SPACES, map_arrow, read
 
 SYMBOLS = "#*$%&|<>"
+#: All bytes but ASCII digits, punctuation and control signs: letters of any script and white space.
+_NO_MARKS = bytes(c for c in range(256) if c >= 128 or chr(c).isalpha() or chr(c) in SPACES)
 #: Rules in bit order. Never renumber: stored ledgers and policies name bits.
 RULES = ("short", "repeats", "symbols", "duplicate_lines", "shouting", "long_words", "no_letters")
 #: A policy is a set of rules; versions stay, so a stored verdict can be reproduced.
@@ -29,7 +31,7 @@ POLICIES = {
     "web-1": ("short", "repeats", "symbols", "duplicate_lines", "shouting", "long_words", "no_letters"),
 }
 CURRENT = "web-1"
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_capitals")
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_vowels", "n_capitals", "n_marks")
 SCHEMA = "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES)
 _ARROW = pa.schema([("doc_id", pa.int64()), *((m, pa.int64()) for m in MEASURES)])
 
@@ -57,9 +59,10 @@ def measure(text: str | None) -> tuple[int, ...]:
     words = text.encode().split()
     gaps = sum(text.count(c) for c in SPACES)
     lines = [x for x in text.split("\n") if x.strip(SPACES)]
-    letters = sum(text.count(c) for c in "aeiouAEIOU")
     capitals = sum(text.count(c) for c in "AEIOU")
-    return (len(words), len(text) - gaps, sum(text.count(c) for c in SYMBOLS), len(lines) - len(set(lines)), repeat_words(words), len(lines), letters, capitals)
+    vowels = capitals + sum(text.count(c) for c in "aeiou")
+    marks = len(text.encode().translate(None, _NO_MARKS))
+    return (len(words), len(text) - gaps, sum(text.count(c) for c in SYMBOLS), len(lines) - len(set(lines)), repeat_words(words), len(lines), vowels, capitals, marks)
 
 
 def _measured(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -76,9 +79,9 @@ def failures() -> dict:
         "repeats": 100 * F.col("n_repeat_words") > 50 * n,
         "symbols": 100 * F.col("n_symbols") > 10 * n,
         "duplicate_lines": (F.col("n_lines") >= 4) & (100 * F.col("n_dup_lines") > 30 * F.col("n_lines")),
-        "shouting": (F.col("n_letters") >= 20) & (100 * F.col("n_capitals") > 50 * F.col("n_letters")),
-        "long_words": F.col("word_chars") > 15 * n,
-        "no_letters": (n >= 50) & (F.col("n_letters") * 2 < n),
+        "shouting": (F.col("n_vowels") >= 20) & (100 * F.col("n_capitals") > 50 * F.col("n_vowels")),
+        "long_words": F.col("word_chars") > 40 * n,
+        "no_letters": 2 * F.col("n_marks") > F.col("word_chars"),
     }
 
 
@@ -127,6 +130,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _CAPITALS = "length(regexp_replace(t, '[^AEIOU]', '', 'g'))"
 _VOWELS = "length(regexp_replace(t, '[^AEIOUaeiou]', '', 'g'))"
+_MARKS = r"length(regexp_replace(t, '[A-Za-z\x20\x09-\x0D]|[^\x00-\x7F]', '', 'g'))"
 OP1_SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
@@ -137,11 +141,11 @@ p AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, (VALUES (0), (1), (2)) A
 m AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
              CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
              CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(p.n, 0) AS BIGINT) AS n_repeat_words,
-             len(ls) AS n_lines, {_VOWELS} AS v, {_CAPITALS} AS c
+             len(ls) AS n_lines, {_VOWELS} AS v, {_CAPITALS} AS c, {_MARKS} AS k
       FROM w LEFT JOIN p ON p.doc_id = w.doc_id),
 b AS (SELECT *, (n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT + 4 * (100 * n_symbols > 10 * n_words)::BIGINT
         + 8 * (n_lines >= 4 AND 100 * n_dup_lines > 30 * n_lines)::BIGINT + 16 * (v >= 20 AND 100 * c > 50 * v)::BIGINT
-        + 32 * (word_chars > 15 * n_words)::BIGINT + 64 * (n_words >= 50 AND v * 2 < n_words)::BIGINT AS failed_bits FROM m)
+        + 32 * (word_chars > 40 * n_words)::BIGINT + 64 * (2 * k > word_chars)::BIGINT AS failed_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits % 4 <> 0 AS base_failed, failed_bits = 0 AS kept,
        CAST(failed_bits AS BIGINT) AS failed_bits FROM b
 """
