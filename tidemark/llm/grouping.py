@@ -53,26 +53,23 @@ def in_blocks(rows: DataFrame, group: str, node: str, size: str, block: int = BL
     return out.repartition(group, "i", "j").sortWithinPartitions(group, "i", "j")
 
 
-def forest(adjacent: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of a symmetric boolean matrix."""
+def stars(adjacent: np.ndarray) -> list[tuple[int, int]]:
+    """(least, member) for the members of each component of a symmetric boolean matrix."""
     seen, edges = ~adjacent.any(axis=0), []
     for s in range(len(adjacent)):
         if seen[s]:
             continue
         seen[s], front = True, np.array([s])
         while len(front):
-            reach = np.flatnonzero(adjacent[front].any(axis=0) & ~seen)
-            if not len(reach):
-                break
-            parents = front[adjacent[np.ix_(front, reach)].argmax(axis=0)]
-            edges += zip(parents.tolist(), reach.tolist(), strict=True)
-            seen[reach] = True
-            front = reach
+            front = np.flatnonzero(adjacent[front].any(axis=0) & ~seen)
+            edges += [(s, k) for k in front.tolist()]
+            seen[front] = True
     return edges
 
 
 def linked(tasks: DataFrame, group: str, alike: Callable[[pa.Table, pa.Table], np.ndarray]) -> DataFrame:
-    """(a, b) long: for each block task a spanning forest of the rows that alike() finds alike.
+    """(a, b) long: for each block task the components of the rows that alike() finds alike, as
+    stars around the least label. Tasks that find the same component thus give the same edges.
 
     tasks comes from in_blocks() and has columns ``node`` and ``label``. Rows with equal labels
     are known to be connected; edges join labels, and a task never emits more than it has labels.
@@ -96,7 +93,7 @@ def linked(tasks: DataFrame, group: str, alike: Callable[[pa.Table, pa.Table], n
                 p, q = place[left][a], place[~left][b]
                 x[p, q] = x[q, p] = True
             np.fill_diagonal(x, False)
-            if edges := forest(x):
+            if edges := stars(x):
                 a, b = np.array(edges).T
                 yield pa.RecordBatch.from_arrays([pa.array(labels[a]), pa.array(labels[b])], names=["a", "b"])
 

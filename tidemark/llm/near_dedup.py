@@ -3,11 +3,11 @@
 1. Each text becomes its set of word shingles, the set's digest, a signature and band hashes.
 2. Equal sets form one class (pre-aggregated), so copies cost nothing later.
 3. Classes that share a band meet in buckets; buckets with the same members are one. In a
-   bucket, block tasks compare signatures and emit a spanning forest of the pairs whose
-   estimate comes near the limit. Components of these edges are candidate clusters. The first
-   bands go ahead, so that most buckets of the others turn out to be within one cluster.
-4. In a cluster, block tasks compare the full sets of shingles exactly and emit a spanning
-   forest of the true links; components of these are the result.
+   bucket, block tasks compare signatures and emit the components of the pairs whose estimate
+   comes near the limit, as stars. Components of all these edges are candidate clusters. The
+   first bands go ahead, so that most buckets of the others turn out to be within one cluster.
+4. In a cluster, block tasks compare the full sets of shingles exactly and emit the components
+   of the true links in the same way; components of these edges are the result.
 
 No step emits all pairs of a group or holds more than two blocks of one, and none caps, samples
 or drops members. A pair at the limit itself (similarity 0.8) is missed by all 32 bands with
@@ -15,7 +15,8 @@ probability 3e-6 and by the estimate with 2e-6; far less above it.
 
 Defined cases: A-Z count as lower case; a text with fewer words than a shingle is one shingle;
 a null text, or one without words, has an empty set, links with nothing and is kept; rows with
-equal ids or equal texts each get a row; other columns don't matter.
+equal ids or equal texts each get a row; a row without an id joins the class of its exact copies
+and is kept if none of them has an id; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -181,8 +182,8 @@ def groups(docs: DataFrame, words: int = WORDS, limit: int = LIMIT) -> DataFrame
 
 def deduplicated(docs: DataFrame, words: int = WORDS, limit: int = LIMIT) -> DataFrame:
     """The rows of docs that groups() keeps, with all their columns."""
-    kept = groups(docs, words, limit).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__kept")), "left_semi")
+    kept = groups(docs, words, limit).where("kept").select("doc_id").distinct()
+    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept["doc_id"]), "left_semi")
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from .common import splitmix
 
 #: Bytes of text that are hashed at a time; a longer single text is taken whole.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _MULTIPLIER = 0x9E3779B97F4A7C55
 
 
