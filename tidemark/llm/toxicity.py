@@ -47,8 +47,9 @@ def features(word: str) -> tuple[str, ...]:
     return ("w" + word, "4" + word[:4], "5" + word[:5], "6" + word[:6])
 
 
-def hashed(word: str) -> list[int]:
-    return [zlib.crc32(f.encode()) & (DIM - 1) for f in features(word)]
+def codes(word: str) -> list[int]:
+    """A number of 32 bits for each feature; its low bits are the feature's place in the weights."""
+    return [zlib.crc32(f.encode()) for f in features(word)]
 
 
 class Field:
@@ -60,7 +61,7 @@ class Field:
         self.document = np.array([-2.0, 0.0, 0.0])
 
     def emission(self, word: str) -> float:
-        return float(self.weight[hashed(word)].sum()) + self.bias
+        return float(self.weight[[c & (DIM - 1) for c in codes(word)]].sum()) + self.bias
 
     def marginals(self, odds: np.ndarray) -> np.ndarray:
         """odds: (time, sequences) emission log-odds, padded at the end with zeros."""
@@ -121,23 +122,27 @@ def _masked(field: Field, table: np.ndarray, length: np.ndarray) -> np.ndarray:
 # --- fitting --------------------------------------------------------------------------------
 
 
-def _markers(texts: list[list[str]], toxic: np.ndarray) -> set[str]:
-    """Features that mark toxic documents."""
-    docs: tuple[dict, dict] = ({}, {})
-    contexts: dict[str, set] = {}
-    for words, y in zip(texts, toxic, strict=True):
-        count = docs[int(y)]
-        for f in {f for w in set(words) if w for f in features(w)}:
-            count[f] = count.get(f, 0) + 1
-    total = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
-    likely = {f for f, n in docs[1].items() if n >= CONTEXTS and np.log((n + 0.5) / total[0]) - np.log((docs[0].get(f, 0) + 0.5) / total[1]) >= ODDS}
-    for words, y in zip(texts, toxic, strict=True):
-        if y:
-            for before, w in zip(["", *words], words, strict=False):
-                for f in features(w):
-                    if f in likely:
-                        contexts.setdefault(f, set()).add(before)
-    return {f for f, seen in contexts.items() if len(seen) >= CONTEXTS}
+def _markers(docs: list[np.ndarray], toxic: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Codes of the features that mark toxic documents. docs: word numbers; table: codes of each word."""
+    counts = []
+    for y in (0, 1):
+        seen = [np.unique(table[np.unique(d)]) for d, label in zip(docs, toxic, strict=True) if label == y and len(d)]
+        counts.append(np.unique(np.concatenate(seen or [np.zeros(0, table.dtype)]), return_counts=True))
+    (clean, n_clean), (code, n_toxic) = counts
+    at = np.searchsorted(clean, code)
+    at[at == len(clean)] = 0
+    also = np.where(clean[at] == code, n_clean[at], 0) if len(clean) else np.zeros(len(code))
+    odds = np.log((n_toxic + 0.5) / max(1, toxic.sum())) - np.log((also + 0.5) / max(1, (1 - toxic).sum()))
+    likely = code[(n_toxic >= CONTEXTS) & (odds >= ODDS)]
+    # Contexts: the words that come before. Copies of one document share them and count once.
+    pairs = [np.zeros((0, 2), dtype=np.int64)]
+    for d, label in zip(docs, toxic, strict=True):
+        if label and len(d):
+            row, col = np.nonzero(np.isin(table[d], likely))
+            before = np.where(row > 0, d[row - 1], -1)
+            pairs.append(np.unique(np.column_stack([table[d[row], col], before]).astype(np.int64), axis=0))
+    found, n = np.unique(np.unique(np.concatenate(pairs), axis=0)[:, 0], return_counts=True)
+    return found[n >= CONTEXTS].astype(table.dtype)
 
 
 def fit(texts: list[str | None], labels: list[int], rounds: int = 80, seed: int = 7) -> Field:
@@ -147,36 +152,46 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = 80, seed: int
     if not len(toxic) or toxic.min() == toxic.max():
         field.bias, field.document = -30.0, np.array([-0.002, 0.0, 0.0])
         return field
-    words = [[normal(w) for w in (t or "").encode().split()] for t in texts]
-    marks = _markers(words, toxic)
+    number: dict[str, int] = {}
+    raw: dict[bytes, int] = {}
+    docs = []
+    for t in texts:  # words as numbers: a few bytes for each token of the sample
+        for w in set((t or "").encode().split()).difference(raw):
+            raw[w] = number.setdefault(normal(w), len(number))
+        docs.append(np.fromiter(map(raw.__getitem__, (t or "").encode().split()), dtype=np.int32))
+    del raw
+    table = np.fromiter((c for w in number for c in codes(w)), dtype=np.uint32, count=4 * len(number)).reshape(-1, 4)
+    marks = _markers(docs, toxic, table)
+    marked = np.isin(table, marks).any(axis=1)
+    if "" in number:
+        marked[number[""]] = False
+    del number
     reach, sequences = 8, []
-    for doc, y in zip(words, toxic, strict=True):
-        hit = [i for i, w in enumerate(doc) if w and any(f in marks for f in features(w))]
+    for d, y in zip(docs, toxic, strict=True):
+        hit = marked[d] if len(d) else np.zeros(0, dtype=bool)
         # In clean documents what looks like a marker is the most telling counterexample.
-        spots = hit[:12] if y else hit[:12] + rng.integers(0, max(1, len(doc)), size=3 if doc else 0).tolist()
-        known = set(hit) if y else set()
+        spots = np.flatnonzero(hit)[:6].tolist()
+        if not y and len(d):
+            spots += rng.integers(0, len(d), size=2).tolist()
         for i in spots:
-            lo, hi = max(0, i - reach), min(len(doc), i + reach + 1)
-            sequences.append(([hashed(w) for w in doc[lo:hi]], [int(k in known) for k in range(lo, hi)]))
+            lo, hi = max(0, i - reach), min(len(d), i + reach + 1)
+            sequences.append((table[d[lo:hi]] & (DIM - 1), hit[lo:hi] & bool(y)))
     if not sequences:
         return field
     height = 2 * reach + 1
-    ids = np.zeros((height, len(sequences), 4), dtype=np.int64)
-    y = np.zeros((height, len(sequences)), dtype=np.int64)
+    ids = np.zeros((height, len(sequences), 4), dtype=np.int32)
+    y = np.zeros((height, len(sequences)), dtype=np.int8)
     length = np.array([len(s[1]) for s in sequences])
     for c, (f, lab) in enumerate(sequences):
         ids[: len(lab), c], y[: len(lab), c] = f, lab
     _ascend(field, ids, y, length, rounds)
     # The document score: logistic regression on the marginals' sum and maximum.
-    known: dict[str, float] = {}
-    odds = []
-    for doc in words:
-        for w in doc:
-            if w not in known:
-                known[w] = field.emission(w)
-        odds.append(np.array([known[w] for w in doc]))
-    p = tagged(field, odds)
-    x = np.column_stack([np.ones(len(p)), [np.log1p(v.sum()) for v in p], [v.max() if len(v) else 0.0 for v in p]])
+    emissions = field.weight[table & (DIM - 1)].sum(axis=1).astype(np.float64) + field.bias
+    total, most = np.zeros(len(docs)), np.zeros(len(docs))
+    for at in range(0, len(docs), 512):
+        for k, v in enumerate(tagged(field, [emissions[d] for d in docs[at : at + 512]]), at):
+            total[k], most[k] = v.sum(), v.max() if len(v) else 0.0
+    x = np.column_stack([np.ones(len(docs)), np.log1p(total), most])
     w = np.zeros(3)
     for _ in range(40):
         q = 1 / (1 + np.exp(-x @ w))
@@ -233,14 +248,16 @@ def held_out() -> F.Column:
 
 def train(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) -> Field:
     """Fits on at most ``sample[label]`` rows of each label that aren't held out."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & ~held_out())
+    labelled = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & ~held_out())
     rows = []
     for y in (0, 1):
-        picked = known.where(F.col("toxic") == y).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample[y])
+        picked = labelled.where(F.col("toxic") == y).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample[y])
         found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")
         rows += [(r["doc_id"], r["text"], y) for r in found.limit(4 * sample[y]).collect()]
     rows.sort(key=lambda r: (r[0], r[2], r[1] or ""))
-    return fit([r[1] for r in rows], [r[2] for r in rows])
+    texts, known = [r[1] for r in rows], [r[2] for r in rows]
+    del rows, found
+    return fit(texts, known)
 
 
 # --- scoring --------------------------------------------------------------------------------
