@@ -454,7 +454,7 @@ def with_runs(docs: DataFrame) -> DataFrame:
     whole = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"), rest.alias("rest"))
     rows = whole.select("doc_id", "text")
     dealt = whole.repartition(parts, "doc_id")
-    buckets = 4 * parts  # several to a partition, which evens the load
+    buckets = 2 * parts  # more than partitions, which evens the load
     by_bucket = lambda df: df.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind")
     met = by_bucket(rows.mapInArrow(_offered(buckets, parts), _ROWS)).mapInArrow(_met(parts), _ROWS)
     places = by_bucket(met).mapInArrow(_by_doc(1), "doc_id long, payload binary").withColumnRenamed("payload", "places")
