@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stored
@@ -107,8 +107,13 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     are joins and aggregations, written to shared storage after each round. Paths shorten
     geometrically, so rounds grow with the logarithm of a component's diameter.
     """
-    both = edges.where("a <> b")
-    both = stored(both.union(both.select("b", "a")).distinct(), "edges")
+    # A node that hangs on several roots keeps the least one, which takes the others over: equal
+    # links between roots merge, and about one edge per node is left for the rounds.
+    low = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    low = low.withColumn("m", F.min("a").over(Window.partitionBy("b")))
+    pairs = F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("b").alias("b")), F.struct(F.col("m").alias("a"), F.col("a").alias("b"))))
+    both = low.select(pairs.alias("e")).select("e.a", "e.b").where("a <> b").distinct()
+    both = stored(both.union(both.select("b", "a")), "edges")
     labels = stored(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")), "labels")
     for _ in range(most):
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
