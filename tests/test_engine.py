@@ -132,3 +132,16 @@ def test_key_filters_reach_the_scan(engine):
     engine.sql("CREATE TABLE t (k INT, c INT, v TEXT, PRIMARY KEY(k, c)); INSERT INTO t VALUES (1, 1, 'x')")
     plan = engine.sql("SELECT * FROM t WHERE k = 1 AND v = 'x'")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(k,1)" in plan and "EqualTo(v" not in plan
+
+
+def test_buffer(spark, tmp_path):
+    root = f"file://{tmp_path}/tables"
+    e = Engine(spark, root, buffer=4)
+    e.sql(f"{KV}; INSERT INTO kv VALUES ('a', '1'), ('b', '2'); UPDATE kv SET val = '3' WHERE id = 'a' IF val = '1'")
+    assert len(e.pending["kv"]) == 3 and rows(e.sql("SELECT * FROM kv")) == [("a", "3"), ("b", "2")]
+    assert rows(Engine(spark, root).sql("SELECT * FROM kv")) == []  # not yet durable
+    e.sql("DELETE FROM kv WHERE id = 'b'")
+    assert "kv" not in e.pending and rows(Engine(spark, root).sql("SELECT * FROM kv")) == [("a", "3")]
+    e.sql("INSERT INTO kv VALUES ('c', '4'); TRUNCATE kv")
+    e.flush()
+    assert rows(e.sql("SELECT * FROM kv")) == []

@@ -24,11 +24,15 @@ class Engine:
     """Tables under ``root``. strict=True refuses statements that don't bind the leading key.
 
     Statements of one engine run one after the other, so a conditional write reads and appends
-    under one lock; engines in other processes are not kept apart.
+    under one lock; engines in other processes are not kept apart. With ``buffer`` rows of
+    memory, mutations of single statements gather per table and become one segment when there
+    are so many of them, or at flush(); until then a crash loses them. Without, each statement
+    writes a segment.
     """
 
-    def __init__(self, spark: SparkSession, root: str, strict: bool = False, clock: Callable[[], int] | None = None) -> None:
-        self.spark, self.log, self.strict = spark, Log(spark, root), strict
+    def __init__(self, spark: SparkSession, root: str, strict: bool = False, clock: Callable[[], int] | None = None, buffer: int = 0) -> None:
+        self.spark, self.log, self.strict, self.buffer = spark, Log(spark, root), strict, buffer
+        self.pending: dict[str, list[tuple]] = {}
         self.clock = clock or (lambda: time.time_ns() // 1000)
         self.lock, self.sequence = threading.RLock(), 0
         self.tables: dict[str, tuple[TableSpec, int]] = {}
@@ -65,8 +69,19 @@ class Engine:
         return self.tables[name][0]
 
     def table(self, name: str) -> DataFrame:
-        """The newest rows of a table."""
-        return self.log.rows(self.spec(name), self.tables[name][1])
+        """The newest rows of a table, buffered ones included."""
+        spec = self.spec(name)
+        held = self.pending.get(name)
+        return self.log.rows(spec, self.tables[name][1], self.spark.createDataFrame(held, spec.log_schema) if held else None)
+
+    def flush(self, name: str | None = None) -> None:
+        """Writes what is buffered, of one table or all, as segments sorted by key."""
+        with self.lock:
+            for one in [name] if name else list(self.pending):
+                if held := self.pending.pop(one, None):
+                    spec = self.spec(one)
+                    rows = self.spark.createDataFrame(held, spec.log_schema).coalesce(1).sortWithinPartitions(*spec.keys, TS, SEQ)
+                    self.log.append(spec, self.tables[one][1], rows)
 
     # --- statements ---
 
@@ -101,10 +116,12 @@ class Engine:
             if s.table not in self.tables and not s.if_exists:
                 raise TableError(f"no table {s.table}")
             dropped = self.tables.pop(s.table, None)
+            self.pending.pop(s.table, None)
             self._save(s.table)
             return self._rows([("DROP TABLE", "table", int(dropped is not None))], MUTATION)
         if isinstance(s, p.Truncate):
             spec = self.spec(s.table)
+            self.pending.pop(s.table, None)
             self.tables[s.table] = spec, self._fresh(s.table)
             self._save(s.table)
             return self._rows([("TRUNCATE", "table", 1)], MUTATION)
@@ -120,11 +137,18 @@ class Engine:
         """A generation that no earlier table of the name has used."""
         return max(time.time_ns() // 1000, self.tables[name][1] + 1 if name in self.tables else 0)
 
-    def _append(self, spec: TableSpec, rows: DataFrame, ts: int, deleted: bool = False) -> None:
+    def _append(self, spec: TableSpec, rows: DataFrame, ts: int, deleted: bool = False, single: bool = True) -> None:
         self.sequence += 1
         seq = F.lit((time.time_ns() // 1000 << 8) + self.sequence % 256).cast("long")
         full = rows.select(*[F.col(c).cast(spec.schema[c].dataType).alias(c) if c in rows.columns else F.lit(None).cast(spec.schema[c].dataType).alias(c) for c in spec.columns])
-        self.log.append(spec, self.tables[spec.name][1], full.withColumn(TS, F.lit(ts).cast("long")).withColumn(SEQ, seq).withColumn(DELETED, F.lit(deleted)))
+        full = full.withColumn(TS, F.lit(ts).cast("long")).withColumn(SEQ, seq).withColumn(DELETED, F.lit(deleted))
+        if not self.buffer or not single:
+            self.log.append(spec, self.tables[spec.name][1], full)
+            return
+        held = self.pending.setdefault(spec.name, [])
+        held += map(tuple, full.select(*spec.log_schema.names).collect())  # the rows of one statement's text
+        if len(held) >= self.buffer:
+            self.flush(spec.name)
 
     def _values(self, spec: TableSpec, columns: list[str], rows: list[list]) -> DataFrame:
         if unknown := [c for c in columns if c not in spec.columns]:
@@ -148,7 +172,7 @@ class Engine:
             rows = found.toDF(*(s.columns or spec.columns))
             if missing := [k for k in spec.keys if k not in rows.columns]:
                 raise PartitionKeyError(f"{spec.name}: key columns {missing} are missing")
-            self._append(spec, rows, ts)
+            self._append(spec, rows, ts, single=False)
             return self._told("INSERT", found.count())
         rows = self._values(spec, s.columns or spec.columns, s.rows)
         if s.if_not_exists:
@@ -200,7 +224,9 @@ class Engine:
         return [k for name in s.tables if name in self.tables for k in self.spec(name).keys if k in s.bound]
 
     def compact(self, name: str) -> None:
+        """Replaces a table's segments by its newest rows, sorted by key."""
         with self.lock:
+            self.flush(name)
             spec, generation = self.tables[name]
             self.log.compact(spec, generation)
             self.tables[name] = spec, generation + 1

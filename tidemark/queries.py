@@ -13,7 +13,7 @@ from .functions.murmur import murmur3_32
 from .operators import dml, replica, ring, skipping
 from .operators.lww import latest, latest_values, overlay
 from .plans.parser import parse
-from .sources.log import decode_row, encode_row, replay_text_log, to_text_log
+from .sources.log import decode_row, encode_row, replay_text_log, split_version, to_text_log, version
 from .streaming.ingest import ingest, resolved
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -332,13 +332,13 @@ def conditional_fold(t):
     return dml.fold_conditional(w, ["user_id"], "event_id", "e", "v")
 
 
-def _engine(t, strict: bool = False):
+def _engine(t, strict: bool = False, buffer: int = 0):
     """An engine on a folder of its own, below the shared one if there is one."""
     from .engine import Engine
 
     spark = t.spark
     root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    return Engine(spark, f"{root}/engine-{uuid.uuid4().hex}", strict)
+    return Engine(spark, f"{root}/engine-{uuid.uuid4().hex}", strict, buffer=buffer)
 
 
 @query("SELECT 0 AS n_before_insert, 'b' AS id WHERE true")
@@ -384,6 +384,23 @@ def wal_replay(t):
     return replay_text_log(to_text_log(rows, "key", "payload"))
 
 
+@query("SELECT event_id, CAST(epoch_us(ts) AS BIGINT) AS version_ts, event_type AS payload FROM events")
+def version_codec(t):
+    rows = t("events").select("event_id", version(F.unix_micros(F.col("ts").cast("timestamp")), F.col("event_type")).alias("cell"))
+    return rows.select("event_id", split_version(F.col("cell")).alias("v")).select("event_id", F.col("v.ts").alias("version_ts"), F.col("v.payload").alias("payload"))
+
+
+@query("SELECT 'a' AS id, '2' AS val, CAST(1 AS BIGINT) AS n_buffered UNION ALL SELECT 'c', '3', 1")
+def buffered_writes(t):
+    """A memory buffer over segments: reads see both, a flush moves rows without changing answers."""
+    e = _engine(t, buffer=3)
+    e.sql("CREATE TABLE kv (id TEXT, val TEXT, PRIMARY KEY(id)); INSERT INTO kv VALUES ('a', '1'), ('b', '1'); INSERT INTO kv VALUES ('a', '2'); DELETE FROM kv WHERE id = 'b'")
+    n = len(e.pending.get("kv", []))
+    e.flush()
+    e.sql("INSERT INTO kv VALUES ('c', '3')")
+    return e.sql("SELECT * FROM kv").withColumn("n_buffered", F.lit(n).cast("long"))
+
+
 # --- data skipping --------------------------------------------------------------------------
 
 

@@ -28,8 +28,10 @@ class Log:
             return self.spark.createDataFrame([], spec.log_schema)
         return self.spark.read.schema(spec.log_schema).parquet(self.path(spec.name, generation))
 
-    def rows(self, spec: TableSpec, generation: int) -> DataFrame:
-        return latest(self.mutations(spec, generation), spec.keys, [TS, SEQ], DELETED).select(*spec.columns)
+    def rows(self, spec: TableSpec, generation: int, more: DataFrame | None = None) -> DataFrame:
+        """The newest row of each key, of the log and of mutations that aren't in it yet."""
+        all_ = self.mutations(spec, generation)
+        return latest(all_.unionByName(more) if more is not None else all_, spec.keys, [TS, SEQ], DELETED).select(*spec.columns)
 
     def compact(self, spec: TableSpec, generation: int, partitions: int | None = None) -> None:
         """Writes the newest versions, sorted by key, as generation + 1; readers switch afterwards.
@@ -64,5 +66,14 @@ def decode_row(text: str | F.Column, schema: T.StructType | str) -> F.Column:
     return F.from_json(text, schema)
 
 
-def segments(df: DataFrame, by: F.Column) -> DataFrame:
-    return df.withColumn("segment", by)
+def version(ts: F.Column, payload: F.Column) -> F.Column:
+    """A version as bytes: eight of time, most significant first, then the payload."""
+    return F.concat(F.unhex(F.lpad(F.hex(ts), 16, "0")), F.encode(payload, "UTF-8"))
+
+
+def split_version(cell: F.Column) -> F.Column:
+    """struct(ts, payload) of a version; a cell of under eight bytes is all payload, at time 0."""
+    short = F.octet_length(cell) < 8
+    ts = F.conv(F.hex(F.substring(cell, 1, 8)), 16, 10).cast("long")
+    rest = F.substring(cell, F.lit(9), F.greatest(F.octet_length(cell) - 8, F.lit(0)))
+    return F.struct(F.when(short, F.lit(0).cast("long")).otherwise(ts).alias("ts"), F.decode(F.when(short, cell).otherwise(rest), "UTF-8").alias("payload"))
