@@ -111,7 +111,7 @@ def with_next(docs: DataFrame, key: str, carry: list[str], buckets: int) -> Data
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, fingerprints of each text and its edited text, and their likeness."""
-    n = 8 if docs.sparkSession.conf.get("spark.sql.shuffle.partitions") is None else int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = with_next(rows.withColumn("sketch", sketch("text")), "doc_id", ["text", "sketch"], max(1, n * SPREAD))
     cut = "CAST(floor(length(text) / 4) AS INT)"

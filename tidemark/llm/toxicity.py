@@ -63,20 +63,20 @@ class Field:
     def emission(self, word: str) -> float:
         return float(self.weight[[c & (DIM - 1) for c in codes(word)]].sum()) + self.bias
 
-    def marginals(self, odds: np.ndarray) -> np.ndarray:
-        """odds: (time, sequences) emission log-odds, padded at the end with zeros."""
-        m = self.move
+    def marginals(self, odds: np.ndarray, length: np.ndarray | None = None) -> np.ndarray:
+        """odds: (time, sequences) emission log-odds; a column ends at its own length."""
+        m, height = self.move, len(odds)
+        length = np.full(odds.shape[1], height) if length is None else length
+        # Messages are log-odds of the labels: what a neighbour's log-odds x say through the transitions w.
         step = lambda x, w: np.logaddexp(w[0, 1], w[1, 1] + x) - np.logaddexp(w[0, 0], w[1, 0] + x)
-        ahead = np.empty_like(odds)
-        ahead[0] = odds[0]
-        for t in range(1, len(odds)):
-            ahead[t] = odds[t] + step(ahead[t - 1], m)
-        back = np.zeros_like(odds[0])
         out = np.empty_like(odds)
-        out[-1] = ahead[-1]
-        for t in range(len(odds) - 2, -1, -1):
-            back = step(back + odds[t + 1], m.T)
-            out[t] = ahead[t] + back
+        out[0] = odds[0]
+        for t in range(1, height):
+            out[t] = odds[t] + step(out[t - 1], m)
+        back = np.zeros(odds.shape[1])
+        for t in range(height - 2, -1, -1):
+            back = np.where(t + 1 < length, step(back + odds[t + 1], m.T), 0.0)
+            out[t] += back
         return 1 / (1 + np.exp(-np.clip(out, -60, 60)))
 
     def score(self, total: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -92,33 +92,15 @@ def tagged(field: Field, odds: list[np.ndarray]) -> list[np.ndarray]:
     for k in range(0, len(parts), 256):
         group = parts[k : k + 256]
         height = max(p[4] - p[1] for p in group)
-        # Padding goes in front for none: a padded end has log-odds that say nothing about labels.
-        table = np.full((height, len(group)), 0.0)
+        table = np.zeros((height, len(group)))
         for c, (i, lo, _, _, hi) in enumerate(group):
             table[: hi - lo, c] = odds[i][lo:hi]
-        marked = _masked(field, table, np.array([p[4] - p[1] for p in group]))
+        marked = field.marginals(table, np.array([p[4] - p[1] for p in group]))
         for c, (i, lo, a, b, _) in enumerate(group):
             out[i][a:b] = marked[a - lo : b - lo, c]
     return out
 
 
-def _masked(field: Field, table: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Marginals where each column ends at its own length."""
-    m, height = field.move, len(table)
-    if len(set(length.tolist())) == 1:
-        return field.marginals(table)
-    step = lambda x, w: np.logaddexp(w[0, 1], w[1, 1] + x) - np.logaddexp(w[0, 0], w[1, 0] + x)
-    out = np.empty_like(table)
-    out[0] = table[0]
-    for t in range(1, height):
-        out[t] = table[t] + step(out[t - 1], m)
-    back = np.zeros(table.shape[1])
-    for t in range(height - 2, -1, -1):
-        back = np.where(t + 1 < length, step(back + table[t + 1], m.T), 0.0)
-        out[t] += back
-    return 1 / (1 + np.exp(-np.clip(out, -60, 60)))
-
-
 # --- fitting --------------------------------------------------------------------------------
 
 
