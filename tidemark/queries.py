@@ -273,13 +273,17 @@ def latency_stats(t):
     return hit.groupBy("n", "mean", "worst").pivot("name", ["p50", "p95", "p99", "p999"]).agg(F.first("value")).select("n", "mean", "p50", "p95", "p99", "p999", "worst")
 
 
-def _running(df: DataFrame, by: str, value: str, name: str) -> DataFrame:
-    """Adds the running sum of value in the order of by, without one task that holds all rows."""
+def _running(df: DataFrame, by: str, value: str, name: str, *ties: str) -> DataFrame:
+    """Adds the running sum of value in the order of by (and ties), without one task for all rows.
+
+    Range partitions, a window inside each, and the totals of those before, of which there are as
+    many as partitions. Both uses of the rows read one exchange, so they see the same partitions.
+    """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = df.repartitionByRange(parts, by).withColumn("__p", F.spark_partition_id())
     totals = rows.groupBy("__p").agg(F.sum(value).alias("__s"))
     before = totals.withColumn("__before", F.coalesce(F.sum("__s").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__p", "__before")
-    inside = F.sum(value).over(Window.partitionBy("__p").orderBy(by).rowsBetween(Window.unboundedPreceding, 0))
+    inside = F.sum(value).over(Window.partitionBy("__p").orderBy(by, *ties).rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("__in", inside).join(F.broadcast(before), "__p").withColumn(name, F.col("__in") + F.col("__before")).drop("__p", "__in", "__before")
 
 
@@ -414,9 +418,12 @@ _ZONES = "SELECT o_orderkey // 500 AS segment, min(o_custkey) AS min_key, max(o_
 
 @query(f"SELECT p.key, count(*) AS n_segments FROM (SELECT c_custkey AS key FROM customer WHERE c_custkey % 50 = 0) p JOIN ({_ZONES}) z ON p.key BETWEEN z.min_key AND z.max_key GROUP BY p.key")
 def zone_map_prune(t):
+    """How many zones hold each key: a sweep over zone ends and keys, no key-by-zone join."""
     zones = skipping.zone_map(t("orders").where("o_custkey % 100 < 5").withColumn("segment", F.floor(F.col("o_orderkey") / 500)), "segment", "o_custkey")
     probes = t("customer").where("c_custkey % 50 = 0").select(F.col("c_custkey").alias("key"))
-    return probes.join(zones, skipping.in_zone(F.col("key"))).groupBy("key").agg(F.count(F.lit(1)).alias("n_segments"))
+    marks = lambda df, key, kind, step: df.select(F.col(key).alias("key"), F.lit(kind).alias("kind"), F.lit(step).cast("long").alias("step"))
+    swept = marks(zones, "min_key", 0, 1).union(marks(probes, "key", 1, 0)).union(marks(zones, "max_key", 2, -1))
+    return _running(swept, "key", "step", "n_segments", "kind").where("kind = 1 AND n_segments > 0").select("key", "n_segments")
 
 
 _H = "CAST(list_reduce(list_prepend(CAST({s} AS BIGINT), list_transform(string_split(key, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda h, b: (h * {m} + b) % 1024) AS BIGINT)"
