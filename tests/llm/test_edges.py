@@ -360,7 +360,17 @@ def test_repeats_in_small_alphabets(spark):
 
     r = random.Random(4)
     rows = [(i, "".join(r.choice("ab") for _ in range(r.randint(0, 60))) * r.randint(1, 4)) for i in range(60)] + [(60 + i, "a" * (40 + i)) for i in range(40)]
-    assert table(suffix_dedup.digests(spark.createDataFrame(rows, "doc_id long, text string"))) == sorted(brute_repeats(rows), key=str)
+    df, want = spark.createDataFrame(rows, "doc_id long, text string").repartition(5), sorted(brute_repeats(rows), key=str)
+    for hot in (None, 1, 3):
+        assert table(suffix_dedup.digests(df, hot)) == want
+
+
+def test_a_common_line_with_many_contexts(spark):
+    line = prose(700, 12)
+    rows = [(i, prose(800 + i, 8) + "\n" + line + "\n" + prose(1200 + i % 40, 8)) for i in range(300)]
+    df, want = spark.createDataFrame(rows, "doc_id long, text string").repartition(5), sorted(brute_repeats(rows), key=str)
+    for hot in (None, 20):
+        assert table(suffix_dedup.digests(df, hot)) == want
 
 
 def test_previous_factors():

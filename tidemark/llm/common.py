@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -48,10 +52,30 @@ def columns_of(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(n) for n in names])
 
 
+def process_memory(owner: str | None) -> dict:
+    """What an operator remembers in a worker process from task to task.
+
+    A process serves tasks of many operators. When another one begins, what the earlier one
+    remembered is dropped and the memory given back. owner None: remembers nothing.
+    """
+    held = sys.modules.setdefault("_tidemark_memory", types.ModuleType("_tidemark_memory")).__dict__
+    others = [k for k in held if k.startswith("of ") and k != f"of {owner}"]
+    for k in others:
+        del held[k]
+    if others:
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):
+            pass  # another C library
+    return held.setdefault(f"of {owner}", {}) if owner else {}
+
+
 def map_arrow(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None]) -> DataFrame:
     """Applies work to each Arrow batch; the schema is DDL text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        process_memory(None)
         for batch in batches:
             out = work(batch)
             if out is None:

@@ -8,7 +8,8 @@ id. Suffixes of the whole corpus can't be sorted in one place, so they are dealt
    in two documents can repeat. Anchors are packed by hash and meet in one exchange; each map
    task first merges what it has, so a very common anchor costs one entry per task.
 2. Around each shared anchor lies a segment: the strings whose anchor it is. Segments meet by
-   the anchor's hash; equal segments are merged in the map task already.
+   the anchor's hash; equal segments are merged in the map task already. Anchors with more places
+   than a partition's even share are hot: their strings meet one by one, by their own hash.
 3. In each bucket of anchors a suffix array, sorted to a depth of WIDTH bytes with ties by
    document, gives each string's previous factor: its predecessor of smaller document in suffix
    order (the previous smaller position) matches to that depth exactly if an earlier copy exists.
@@ -25,6 +26,7 @@ pieces that overlap by WIDTH - 1 bytes.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,13 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, splitmix
+from .common import process_memory, read, splitmix, stored
 from .grouping import by_group
 
 WIDTH, GRAM = 50, 16
 #: Bytes hashed at a time (positions must fit _AT bits), and bytes of text a map task merges before it packs.
 PIECE, UNIT = 1 << 18, 32 << 20
 _AT = 21
+#: Anchors of a bucket that may be told as frequent.
+FREQUENT = 4
 _NO_ID = -(1 << 63)
 
 
@@ -227,7 +231,8 @@ def _offered(buckets: int, targets: int):
         flag = np.zeros(len(key), dtype=np.int64)
         flag[told] = 1
         send = ~shared | (flag > 0)
-        key, doc, at, flag = key[send], np.where(flag > 0, 0, doc)[send], np.where(flag > 0, 0, at)[send], flag[send]
+        at = np.where(flag > 0, np.repeat(size, size), at)  # the entry that tells others has the number of places
+        key, doc, at, flag = key[send], np.where(flag > 0, 0, doc)[send], at[send], flag[send]
         to = (key % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(to, kind="stable")
         key, doc, at, flag, to = key[order], doc[order], at[order], flag[order], to[order]
@@ -239,6 +244,7 @@ def _offered(buckets: int, targets: int):
             yield _rows(rows[i : i + 4096])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        process_memory(None)
         keys, docs, places, held = [], [], [], 0
         for batch in batches:
             ids = np.asarray(batch.column(0))
@@ -276,18 +282,35 @@ def _met(targets: int):
             high = np.maximum.reduceat(np.where(real, doc, np.iinfo(np.int64).min), cuts[:-1])
             shared = np.repeat((np.add.reduceat(flag, cuts[:-1]) > 0) | (low < high), size) & real
             out = [(to, 0, blob) for to, blob in _per_target(targets, doc[shared], at[shared])]
-            if out:
-                yield _rows(out)
+            # Frequent anchors: at most FREQUENT of a bucket, and the bucket's whole number of places.
+            places = np.add.reduceat(np.where(real, 1, at), cuts[:-1])
+            often = np.flatnonzero(places * FREQUENT >= places.sum())
+            out.append((int(t["bucket"][0].as_py()), 2, pack(np.append(key[cuts[:-1][often]], -1), np.append(places[often], places.sum()))))
+            yield _rows(out)
 
     return run
 
 
+def _hot(met: DataFrame, parts: int, least: int | None) -> frozenset[int]:
+    """Anchors with more places than an even share of a partition (or ``least``): fewer than partitions.
+
+    What comes to the driver is FREQUENT + 1 numbers for each bucket, whatever the data.
+    """
+    found = [unpack(r["payload"], 2) for r in met.where("kind = 2").select("payload").collect()]
+    if not found:
+        return frozenset()
+    key, n = (np.concatenate([f[i] for f in found]) for i in range(2))
+    limit = int(n[key < 0].sum()) // parts + 1 if least is None else least
+    return frozenset(key[(key >= 0) & (n >= limit)].tolist())
+
+
 # --- steps 2 and 3: segments, suffix order, previous factors ---------------------------------
 
 
-def _sent(buckets: int, targets: int):
+def _sent(buckets: int, targets: int, hot: frozenset[int]):
     """Segments around shared anchors, packed by bucket. Of equal ones the first document's goes on;
-    later documents' are covered for certain (kind 0)."""
+    later documents' are covered for certain (kind 0). A hot anchor's segments part into single
+    windows that go by their own hash, so that its contexts spread over all buckets."""
 
     def packed(held: dict) -> Iterator[pa.RecordBatch]:
         covered: list[tuple[int, int, int]] = []
@@ -314,6 +337,7 @@ def _sent(buckets: int, targets: int):
             yield _rows(rows[i : i + 2048])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        process_memory(None)
         held: dict = {}
         size = 0
         for batch in batches:
@@ -330,7 +354,10 @@ def _sent(buckets: int, targets: int):
                 wanted = _plains(place[r].as_py())[0]
                 use = a + np.flatnonzero(np.isin(at[a:b], wanted))
                 start, doc = int(offsets[r]), int(ids[r])
-                for k, i, j in zip(key[use].tolist(), lo[use].tolist(), hi[use].tolist(), strict=True):
+                runs = zip(key[use].tolist(), lo[use].tolist(), hi[use].tolist(), strict=True)
+                if hot:
+                    runs = _parted(runs, hot, whole, start)
+                for k, i, j in runs:
                     content = whole[start + i : start + j + WIDTH - 1]
                     entry = held.get((k, content))
                     if entry is None:
@@ -348,6 +375,16 @@ def _sent(buckets: int, targets: int):
     return run
 
 
+def _parted(runs, hot: frozenset[int], text: bytes, start: int) -> Iterator[tuple[int, int, int]]:
+    """(key, first window, end window) of runs; those of hot keys one window at a time."""
+    for k, i, j in runs:
+        if k in hot:
+            for w in range(i, j):
+                yield zlib.crc32(text[start + w : start + w + WIDTH]) | 1 << 44, w, w + 1
+        else:
+            yield k, i, j
+
+
 def suffix_order(data: np.ndarray, starts: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """The suffixes at starts sorted by their first width bytes (stable), and whether each equals
     its predecessor in this order to that depth."""
@@ -445,8 +482,11 @@ def merged_runs(blob: bytes | None, n: int) -> list[tuple[int, int]]:
     return [(s, e) for s, e in zip(a[firsts].tolist(), b[np.append(firsts[1:], len(a)) - 1].tolist(), strict=True) if s < e]
 
 
-def with_runs(docs: DataFrame) -> DataFrame:
-    """doc_id, text, runs (packed covered runs, null where there are none) and the rest as a struct."""
+def with_runs(docs: DataFrame, hot: int | None = None) -> DataFrame:
+    """doc_id, text, runs (packed covered runs, null where there are none) and the rest as a struct.
+
+    hot: places from which an anchor counts as hot; by default an even share of a partition.
+    """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     more = [c for c in docs.columns if c not in ("doc_id", "text")]
@@ -456,9 +496,10 @@ def with_runs(docs: DataFrame) -> DataFrame:
     dealt = whole.repartition(parts, "doc_id")
     buckets = 2 * parts  # more than partitions, which evens the load
     by_bucket = lambda df: df.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind")
-    met = by_bucket(rows.mapInArrow(_offered(buckets, parts), _ROWS)).mapInArrow(_met(parts), _ROWS)
-    places = by_bucket(met).mapInArrow(_by_doc(1), "doc_id long, payload binary").withColumnRenamed("payload", "places")
-    sent = dealt.join(places, "doc_id").select("doc_id", "text", "places", "rest").mapInArrow(_sent(buckets, parts), _ROWS)
+    met = stored(by_bucket(rows.mapInArrow(_offered(buckets, parts), _ROWS)).mapInArrow(_met(parts), _ROWS), "places")
+    often = _hot(met, parts, hot)
+    places = by_bucket(met.where("kind = 0")).mapInArrow(_by_doc(1), "doc_id long, payload binary").withColumnRenamed("payload", "places")
+    sent = dealt.join(places, "doc_id").select("doc_id", "text", "places", "rest").mapInArrow(_sent(buckets, parts, often), _ROWS)
     found = by_bucket(sent).mapInArrow(_factored(parts), _ROWS)
     runs = by_bucket(found).mapInArrow(_by_doc(2), "doc_id long, payload binary").withColumnRenamed("payload", "runs")
     return dealt.join(runs, "doc_id", "left").select("doc_id", "text", "runs", "rest")
@@ -467,7 +508,7 @@ def with_runs(docs: DataFrame) -> DataFrame:
 _DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def digests(docs: DataFrame) -> DataFrame:
+def digests(docs: DataFrame, hot: int | None = None) -> DataFrame:
     """doc_id, bytes, removed bytes, removed runs and the SHA-256 of what remains."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -485,7 +526,7 @@ def digests(docs: DataFrame) -> DataFrame:
             kinds = [pa.int64()] * 4 + [pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return with_runs(docs.select("doc_id", "text")).mapInArrow(run, _DIGEST)
+    return with_runs(docs.select("doc_id", "text"), hot).mapInArrow(run, _DIGEST)
 
 
 def cut_text(text: str | None, blob: bytes | None) -> str | None:
