@@ -12,11 +12,9 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: ASCII white space as the word rules define it; ``bytes.split()`` splits on exactly these.
 SPACES = " \t\n\x0b\x0c\r"
-WORD_GAP = r"[\x20\x09-\x0D]+"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -47,11 +45,6 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def columns_of(df: DataFrame, *names: str) -> DataFrame:
-    """The named columns alone, by position-safe references; other columns may clash."""
-    return df.select(*[F.col(n) for n in names])
-
-
 def process_memory(owner: str | None) -> dict:
     """What an operator remembers in a worker process from task to task.
 
@@ -85,12 +78,6 @@ def map_arrow(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], pa.Re
     return df.mapInArrow(run, schema)
 
 
-def arrow_batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [c if isinstance(c, pa.Array) else pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema
-    )
-
-
 def splitmix(x):
     """A 64-bit finaliser over a numpy uint64 array."""
     import numpy as np

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import process_memory, stored
 
 #: Rows of a group that one task compares with as many others.
 BLOCK = 512
@@ -17,6 +17,7 @@ BLOCK = 512
 
 def by_group(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
     """Tables of rows with equal integer keys, from batches that are sorted by these."""
+    process_memory(None)
     held: list[pa.RecordBatch] = []
     last = None
     for batch in batches:

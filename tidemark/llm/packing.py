@@ -16,8 +16,6 @@ windows as they need; repeated rows and ids are packed one by one; an empty tabl
 from __future__ import annotations
 
 import re
-import sys
-import types
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -27,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, stored
+from .common import process_memory, read, stored
 
 LENGTH, END = 2048, 1
 TOKENIZER = "word_bpe_49k.json"
@@ -46,8 +44,7 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
 
     One per process and file: tasks that follow one another in a worker share what it remembers.
     """
-    memory = sys.modules.setdefault("_tidemark_memory", types.ModuleType("_tidemark_memory"))
-    held = memory.__dict__.setdefault("encoders", {})
+    held = process_memory("packing")
     if path not in held:
         held[path] = _encoder(path)
     return held[path]

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .boosting import Boosted, calibrate, fit, threshold
-from .common import map_arrow, read
+from .common import map_arrow, process_memory, read
 
 BASE = ("email", "ip", "card", "phone")
 LEARNED = ("email_spelled", "phone_local", "ip6", "iban", "national_id", "secret")
@@ -298,6 +298,7 @@ def redact(docs: DataFrame, column: str = "text", model: tuple[Boosted, float] |
     trees, cut = model or train()
 
     def clean(texts: pa.Array) -> pa.Array:
+        process_memory(None)
         return pa.array([t if t is None else redacted(t, spans_of(t, trees, cut)[1]) for t in texts.to_pylist()], pa.string())
 
     return docs.withColumn(column, F.arrow_udf(clean, "string")(F.col(column)))

@@ -21,8 +21,6 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
-import sys
-import types
 import zlib
 from collections.abc import Iterator
 
@@ -31,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import process_memory, read
 
 MODEL = "piece_bpe_32k.model"
 #: Words that a process remembers, and bytes of new words that are indexed at a time.
@@ -47,8 +45,7 @@ def model_path(name: str = MODEL) -> str:
 
 def codec(path: str) -> Codec:
     """One per process and file."""
-    memory = sys.modules.setdefault("_tidemark_memory", types.ModuleType("_tidemark_memory"))
-    held = memory.__dict__.setdefault("codecs", {})
+    held = process_memory("sentencepiece")
     if path not in held:
         held[path] = Codec(path)
     return held[path]

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import process_memory, read
 
 #: Labelled rows that fitting may use: clean, toxic.
 SAMPLE = (6000, 3000)
@@ -249,6 +249,7 @@ def scored(docs: DataFrame, field: Field) -> DataFrame:
     """doc_id, score and spans ("start:end" in code points, comma-joined) for each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        process_memory(None)
         known: dict[bytes, float] = {}
 
         def odds_of(words: list[bytes]) -> np.ndarray:
@@ -298,6 +299,7 @@ def accepted(docs: DataFrame, labels: DataFrame, cut: float = 0.5) -> DataFrame:
     field = train(docs, labels)
 
     def rejects(texts: pa.Array) -> pa.Array:
+        process_memory(None)
         out, known = [], {}
         values = texts.to_pylist()
         for at in range(0, len(values), 1024):
