@@ -49,7 +49,7 @@ def process_memory(owner: str | None) -> dict:
     """What an operator remembers in a worker process from task to task.
 
     A process serves tasks of many operators. When another one begins, what the earlier one
-    remembered is dropped and the memory given back. owner None: remembers nothing.
+    remembered is dropped. Each call gives back what is free. owner None: remembers nothing.
     """
     held = sys.modules.setdefault("_tidemark_memory", types.ModuleType("_tidemark_memory")).__dict__
     others = [k for k in held if k.startswith("of ") and k != f"of {owner}"]
@@ -57,10 +57,11 @@ def process_memory(owner: str | None) -> dict:
         del held[k]
     if others:
         gc.collect()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (OSError, AttributeError):
-            pass  # another C library
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
     return held.setdefault(f"of {owner}", {}) if owner else {}
 
 
