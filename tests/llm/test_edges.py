@@ -131,6 +131,24 @@ def test_pii(spark, docs, nothing, nasty):
     assert pii.redacted("a 10.1.2.3 b", [("ip", 2, 10)]) == "a [IP] b"
 
 
+def test_pii_long_secrets_leave_no_tail():
+    import random
+    import string
+
+    model, rng = pii.train(), random.Random(11)
+    pick = lambda n: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n))
+    jwt = lambda: f"eyJ{pick(33)}.eyJ{pick(400)}.{pick(43)}"
+    values = [pick(201), pick(512), pick(5000), pick(150) + "!#" + pick(150), *(jwt() for _ in range(20))]
+    for value in values:
+        for cue, end in (("token=", ""), ("token = ", ""), ('api_key: "', '"'), ("secret: ", "")):
+            text = f"one two {cue}{value}{end} three"
+            assert pii.redacted(text, pii.spans_of(text, *model)[1]) == f"one two {cue}[SECRET]{end} three", (cue, value)
+    # A value that follows another one in the same run of signs, however far.
+    text = f"see ?a={pick(300)}&token={values[1]} three"
+    assert (text.index(values[1]), len(text) - 6) in pii.assigned(text)
+    assert values[1][-20:] not in pii.redacted(text, pii.spans_of(text, *model)[1])
+
+
 def test_boosting_held_out():
     model, cut = pii.train(samples=3000, seed=5)
     import random

@@ -3,7 +3,8 @@
 Four base kinds are exact patterns and always stay. For the other kinds generators propose
 spans with high recall, which may overlap; boosted trees score each one by its format and the
 words around it, and those over a calibrated threshold are taken, the best of those that
-overlap. The trees learn from seeded made-up sentences (SAMPLES of them), never from the corpus.
+overlap. A secret within a value that is assigned to a word for credentials (token=...) takes
+all of that value, so that no tail is left. The trees learn from seeded made-up sentences (SAMPLES of them), never from the corpus.
 
 Defined cases: a null text is empty and holds nothing; offsets are code points, ends exclusive;
 rows with equal ids are judged one by one; every scan is linear in the text, however long its
@@ -16,6 +17,8 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left, bisect_right
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -89,18 +92,35 @@ _GENERATORS = (
     ("national_id", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")),
 )
 _SPELLED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[({] ?at ?[\])}] ?[A-Za-z0-9-]{1,63}+(?: ?(?:\.|[\[({] ?dot ?[\])}]) ?[A-Za-z0-9-]{2,63}+){1,4}", re.I)
-_ASSIGNED = re.compile(r"[=:]\s{0,3}[\"']?([^\s\"']{6,200}+)")
+_ASSIGNED = re.compile(r"[=:](?=\s{0,3}[\"']?[^\s\"']{6})")
+_VALUE = re.compile(r"\s{0,3}[\"']?([^\s\"']{6,}+)")
 _CREDENTIAL = re.compile(r"(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key)[\"' ]{0,3}$", re.I)
 
 
-def candidates(text: str) -> list[tuple[str, int, int]]:
+def assigned(text: str) -> list[tuple[int, int]]:
+    """The values given to words for credentials, each to its end, however long; disjoint."""
+    out, upto = [], 0
+    if "=" in text or ":" in text:
+        for m in _ASSIGNED.finditer(text):
+            if m.start() >= upto and _CREDENTIAL.search(text, max(0, m.start() - 24), m.start()):
+                out.append(_VALUE.match(text, m.end()).span(1))
+                upto = out[-1][1]
+    return out
+
+
+def whole(values: list[tuple[int, int]], start: int, end: int) -> tuple[int, int]:
+    """The assigned value that holds the span, or else the span."""
+    i = bisect_right(values, start, key=lambda v: v[0]) - 1
+    return values[i] if i >= 0 and end <= values[i][1] else (start, end)
+
+
+def candidates(text: str, values: list[tuple[int, int]]) -> list[tuple[str, int, int]]:
     out: list[tuple[str, int, int]] = []
     if re.search("[0-9]", text):
         for kind, pattern in _GENERATORS:
             out += [(kind, *m.span()) for m in pattern.finditer(text)]
         out += [("secret", *m.span()) for m in _RUN.finditer(text) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
-    if "=" in text or ":" in text:
-        out += [("secret", *m.span(1)) for m in _ASSIGNED.finditer(text) if _CREDENTIAL.search(text, max(0, m.start() - 24), m.start())]
+    out += [("secret", *v) for v in values]
     if "[" in text or "(" in text or "{" in text:
         out += [("email_spelled", *m.span()) for m in _SPELLED.finditer(text)]
     return list(dict.fromkeys(out))
@@ -132,7 +152,7 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
     n = len(s)
     digits, uppers = sum(c.isdigit() for c in s), sum(c.isupper() for c in s)
     letters = sum(c.isalpha() for c in s)
-    counts = [s.count(c) for c in set(s)]
+    counts = Counter(s).values()
     switches = sum(a.isdigit() != b.isdigit() for a, b in zip(s, s[1:], strict=False))
     return [
         n, digits / n, letters / n, uppers / n, sum(c in _HEX for c in s) / n, len(counts) / n, -sum(c / n * math.log2(c / n) for c in counts), switches / n, digits,
@@ -152,7 +172,7 @@ def _made_up(rng: random.Random) -> tuple[str, str, str, int]:
     word = lambda: pick("abcdefghilmnoprstu", rng.randint(2, 9))
     low, up, dig = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     hexa = "0123456789abcdef"
-    shape = rng.randrange(20)
+    shape = rng.randrange(23)
     cue, value, y, quote = "", "", 1, ""
     if shape == 0:
         value, cue = "AKIA" + pick(up + "234567", 16), rng.choice(["", "", "key ", "access key: "])
@@ -192,8 +212,18 @@ def _made_up(rng: random.Random) -> tuple[str, str, str, int]:
         cue, value, y = rng.choice(["serial ", "part ", ""]), pick(up, 2) + pick(dig, 2) + pick(up + dig, 16), 0
     elif shape == 18:
         cue, value, y = rng.choice(["", "the "]), f"{word()} (at) {word()}. {word()}", 0
-    else:
+    elif shape == 19:
         cue, value, y = rng.choice(["", "uuid "]), "-".join(pick(hexa, k) for k in (8, 4, 4, 4, 12)), 0
+    elif shape in (20, 21):
+        cue = rng.choice(["token=", "token = ", "secret = ", "api_key=", "access_key: ", "password: "])
+        quote = rng.choice(["", '"'])
+        if shape == 20:
+            value = pick(low + up + dig + rng.choice(["", "+/", "_-", "!#"]), rng.randint(65, 1500))
+        else:
+            value = ".".join("eyJ" * (i < 2) + pick(low + up + dig + "_-", n) for i, n in enumerate((rng.randint(17, 60), rng.randint(40, 900), rng.choice([43, 86, 342]))))
+    else:
+        cue, y = rng.choice(["token: ", "secret: ", "password: ", "token:"]), 0
+        value = rng.choice([",", "...", "/", "-"]).join(word() for _ in range(rng.randint(3, 60)))
     return " ".join(word() for _ in range(rng.randint(0, 4))) + " " + cue + quote, value, quote + " " + word(), y
 
 
@@ -203,8 +233,11 @@ def train(samples: int = SAMPLES, precision: float = PRECISION, seed: int = SEED
     for _ in range(samples):
         left, value, right, y = _made_up(rng)
         text, a, b = left + value + right, len(left), len(left) + len(value)
-        for kind, start, end in candidates(text):
+        values = assigned(text)
+        for kind, start, end in candidates(text, values):
             rows.append(features(text, kind, start, end))
+            if kind == "secret":
+                start, end = whole(values, start, end)
             labels.append(int(y and start <= a + 1 and end >= b - 1 and start >= a - 1))
     x, y = np.array(rows, dtype=np.float64), np.array(labels, dtype=np.float64)
     fold = np.arange(len(y)) % 3 == 0
@@ -220,7 +253,8 @@ def spans_of(text: str, model: Boosted, cut: float) -> tuple[list[tuple[str, int
     """Base spans, then all spans; both by kind as listed, then start."""
     found = base_spans(text)
     base = [(k, *s) for k in BASE for s in found[k]]
-    proposed = candidates(text)
+    values = assigned(text)
+    proposed = candidates(text, values)
     if not proposed:
         return base, base
     scores = model.score(np.array([features(text, *c) for c in proposed], dtype=np.float64))
@@ -228,6 +262,8 @@ def spans_of(text: str, model: Boosted, cut: float) -> tuple[list[tuple[str, int
     held = _Cover(taken)
     extra = []
     for score, (kind, s, e) in sorted(zip(scores.tolist(), proposed, strict=True), key=lambda x: (-x[0], x[1][1] - x[1][2], x[1])):
+        if kind == "secret":
+            s, e = whole(values, s, e)
         if score >= cut and held.add(s, e):
             extra.append((kind, s, e))
     rank = {k: i for i, k in enumerate(BASE + LEARNED)}
@@ -248,8 +284,6 @@ class _Cover:
                 self.ends.append(e)
 
     def add(self, s: int, e: int) -> bool:
-        from bisect import bisect_left
-
         i = bisect_left(self.ends, s + 1)
         if i < len(self.starts) and self.starts[i] < e:
             return False
