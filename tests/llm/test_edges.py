@@ -329,6 +329,27 @@ def test_near_dedup(spark, docs, nothing, nasty, k):
     assert near_dedup.groups(nothing, k).count() == 0 and near_dedup.deduplicated(docs, k).columns == docs.columns
 
 
+def test_bands_and_estimate_follow_the_limit(spark, nothing):
+    from math import comb
+
+    for limit in (10, 50, 65, 80, 95, 99):
+        rows, least = near_dedup.plan(limit)
+        s, m = limit / 100, near_dedup.SLOTS
+        assert (1 - s**rows) ** (m // rows) <= 1e-5
+        assert sum(comb(m, k) * s**k * (1 - s) ** (m - k) for k in range(least)) <= 1e-7
+    assert near_dedup.plan(80) == (5, 100) and near_dedup.plan(100) == (160, 160)
+    for limit in (-1, 0, 1, 101):
+        with pytest.raises(ValueError):
+            near_dedup.groups(nothing, 2, limit)
+    # Pairs a little above a limit of 50: all links must be found.
+    rows = []
+    for i in range(60):
+        w = prose(5000 + i, 400).split()
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[:270] + prose(7000 + i, 130).split()))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert table(near_dedup.groups(df, 2, 50)) == sorted(brute_groups(rows, 2, 50), key=str)
+
+
 def test_a_large_group_of_near_copies(spark):
     import random
 

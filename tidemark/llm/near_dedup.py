@@ -10,8 +10,10 @@
    of the true links in the same way; components of these edges are the result.
 
 No step emits all pairs of a group or holds more than two blocks of one, and none caps, samples
-or drops members. A pair at the limit itself (similarity 0.8) is missed by all 32 bands with
-probability 3e-6 and by the estimate with 2e-6; far less above it.
+or drops members. Slots per band and the estimate's bound follow from the limit (plan()). At 0.8
+these are 32 bands of 5 and 100 of 160 slots: a pair at the limit itself is missed by all bands
+with probability 3e-6 and by the estimate with 1e-7 at most, that of independent slots, to which
+long texts come close; far less above it. Limits too low for any bands (under 7) are refused.
 
 Defined cases: A-Z count as lower case; a text with fewer words than a shingle is one shingle;
 a null text, or one without words, has an empty set, links with nothing and is kept; rows with
@@ -34,14 +36,24 @@ from .grouping import components, in_blocks, linked
 from .shingles import chunks, shingles
 from .superminhash import bands, signatures
 
-#: Signature slots, slots per band, and how far below the limit an estimate may lie.
-SLOTS, ROWS, MARGIN = 160, 5, 0.1125
-#: Bands that form the first clusters.
-EARLY = 8
+#: Signature slots, and the part of the pairs at the limit that bands and estimate may miss.
+SLOTS, MISSED_BY_BANDS, MISSED_BY_ESTIMATE = 160, 1e-5, 1e-7
 WORDS, LIMIT = 5, 80
 _SKETCH = "doc_id long, n_shingles long, node long, signature binary, bands array<long>"
 
 
+def plan(limit: int) -> tuple[int, int]:
+    """Slots per band, and the equal slots that a pair needs to be verified, for a limit in per cent."""
+    s = limit / 100
+    rows = [r for r in range(1, SLOTS + 1) if (1 - s**r) ** (SLOTS // r) <= MISSED_BY_BANDS] if 0 < s <= 1 else []
+    if not rows:
+        raise ValueError(f"no bands of {SLOTS} slots find pairs at a limit of {limit}")
+    under, least = 0.0, 0
+    while least < SLOTS and (under := under + math.comb(SLOTS, least) * s**least * (1 - s) ** (SLOTS - least)) <= MISSED_BY_ESTIMATE:
+        least += 1
+    return rows[-1] if s < 1 else SLOTS, least
+
+
 def _digests(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """A hash of each sorted set."""
     size = np.diff(bounds)
@@ -53,7 +65,7 @@ def _digests(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return splitmix(out ^ size.astype(np.uint64))
 
 
-def sketches(docs: DataFrame, words: int) -> DataFrame:
+def sketches(docs: DataFrame, words: int, rows: int) -> DataFrame:
     """doc_id, n_shingles, node (the set's digest), signature and bands; the last two null for empty sets."""
 
     def work(batch: pa.RecordBatch) -> pa.Table:
@@ -61,7 +73,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
         for at, end, data, offsets in chunks(batch.column(1)):
             hashes, bounds = shingles(data, offsets, words)
             sig = signatures(hashes, bounds, SLOTS)
-            keys, size = bands(sig, ROWS), np.diff(bounds)
+            keys, size = bands(sig, rows), np.diff(bounds)
             empty = pa.array(size == 0)
             small = np.ascontiguousarray(splitmix(sig) & np.uint64(0xFFFF)).astype(np.uint16)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, keys.shape[1]), pa.int32()), pa.array(keys.ravel().view(np.int64)))
@@ -150,17 +162,19 @@ def _compared(classes: DataFrame, bands_: Column, least: int) -> DataFrame:
 def groups(docs: DataFrame, words: int = WORDS, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = stored(sketches(docs, words), "sketches")
+    per_band, least = plan(limit)
+    many = SLOTS // per_band
+    first = -(-many // 4)  # bands that form the first clusters
+    rows = stored(sketches(docs, words, per_band), "sketches")
     classes = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("signature").alias("signature"), F.first("bands").alias("bands"))
     classes = stored(classes, "classes")
 
     # Candidate clusters. Once the first bands have formed clusters, a bucket of the other bands is
     # compared only if its members lie in different ones, and only across these.
-    least = math.ceil((limit / 100 - MARGIN) * SLOTS)
-    early = stored(_compared(classes.withColumn("label", F.col("node")), F.slice("bands", 1, EARLY), least), "near")
+    early = stored(_compared(classes.withColumn("label", F.col("node")), F.slice("bands", 1, first), least), "near")
     labels = components(early).withColumnRenamed("label", "known")
     known = classes.join(labels, "node", "left").withColumn("label", F.coalesce("known", "node"))
-    late = _compared(known, F.slice("bands", EARLY + 1, SLOTS // ROWS - EARLY), least)
+    late = _compared(known, F.slice("bands", first + 1, many - first), least)
     near = components(early.union(late))
 
     # Clusters: full sets, compared exactly.
