@@ -449,7 +449,7 @@ def bloom_build(t):
 @query(f"""SELECT p.key, count(*) AS n_segments FROM (SELECT key, {_H.format(s=261, m=33)} AS a, {_H.format(s=0, m=31)} AS b FROM (SELECT CAST(o_orderkey AS VARCHAR) AS key FROM orders WHERE o_orderkey % 97 = 0)) p
 JOIN ({_BITS}) x ON x.bit = p.a JOIN ({_BITS}) y ON y.bit = p.b AND y.segment = x.segment GROUP BY p.key""")
 def bloom_probe(t):
-    """Probes are joined on their two bits, not against every segment."""
+    """Probes are joined on their two bits, not against every segment. As in the SQL twin, only o_orderkey % 97 = 0 is asked for."""
     probes = t("orders").where("o_orderkey % 97 = 0").select(F.col("o_orderkey").cast("string").alias("key")).withColumn("p", skipping.bit_places(F.col("key")))
     bits = _blooms(t).select("segment", F.explode("bits").alias("bit"))
     one = probes.select("key", F.col("p")[0].alias("bit"), F.col("p")[1].alias("b")).join(bits, "bit").select("key", "segment", F.col("b").alias("bit"))
@@ -472,6 +472,7 @@ def sparse_index(t):
 
 @query(f"""SELECT p.segment, p.key, max(i."offset") AS "offset" FROM (SELECT c_nationkey AS segment, c_custkey AS key FROM customer WHERE c_custkey % 11 = 0) p LEFT JOIN ({_INDEX}) i ON i.segment = p.segment AND i.index_key <= p.key GROUP BY 1, 2""")
 def sparse_seek(t):
+    """As in the SQL twin, only c_custkey % 11 = 0 is asked for."""
     probes = t("customer").where("c_custkey % 11 = 0").select(F.col("c_nationkey").alias("segment"), F.col("c_custkey").alias("key"))
     return skipping.seek(probes, _index(t), "segment", "key")
 
