@@ -206,14 +206,82 @@ def test_order_minhash(docs, nothing, nasty):
     assert order_minhash.fingerprints(docs.where("doc_id = 0").limit(1)).count() == 1
 
 
-def test_order_matters(spark):
-    w = prose(5, 200).split()
-    moved = w[100:] + w[:100]
-    swapped = [x for a, b in zip(w[::2], w[1::2], strict=True) for x in (b, a)]
-    df = spark.createDataFrame([(" ".join(w), " ".join(moved), " ".join(swapped))], "a string, b string, c string")
-    df = df.select(*[order_minhash.sketch(c, k=1, size=2).alias(c) for c in "abc"])
-    same, other = df.select(order_minhash.likeness("a", "b").alias("x"), order_minhash.likeness("a", "a").alias("y")).first()
-    assert other == 1.0 and same < 0.9
+def spark_hash(*values):
+    """xxhash64 of strings, (int, bytes) pairs and lists, chained by the seed; None changes nothing."""
+    import xxhash
+
+    h = 42
+    for v in values:
+        for x in v if isinstance(v, list) else [v]:
+            if x is not None:
+                h = xxhash.xxh64(x.encode() if isinstance(x, str) else int(x[0]).to_bytes(x[1], "little"), seed=h).intdigest()
+    return h
+
+
+def brute_fingerprint(text, k=order_minhash.K, bands=order_minhash.BANDS, size=order_minhash.L, hashes=order_minhash.HASHES):
+    """Every component ranks every numbered k-mer."""
+    w, parts, out = words(text), bands // hashes, []
+    if not w:
+        return ""
+    grams = [tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))]
+    seen, numbered = Counter(), []
+    for i, g in enumerate(grams):
+        numbered.append((spark_hash(*g) >> 25, seen[g], i))
+        seen[g] += 1
+    for h in range(hashes):
+        ranks = [(spark_hash((e, 8), (n, 4), (h, 4)) >> 25, i) for e, n, i in numbered]
+        for b in range(parts):
+            least = sorted((r ^ b << 39 - parts.bit_length() + 1, i) for r, i in ranks)[:size]
+            told = [(r ^ b << 39 - parts.bit_length() + 1, 8) for r, _ in sorted(least, key=lambda x: x[1])]
+            out.append(b + h * parts << 26 | spark_hash(told) >> 38)
+    return "".join(f"{x:08x}" for x in out)
+
+
+def test_fingerprints_by_brute_force(spark, docs, nasty):
+    want = {i: brute_fingerprint(t) for i, t in texts(nasty) if len(t) < 5000}
+    rows = {r["doc_id"]: r for r in order_minhash.fingerprints(docs).collect()}
+    assert {i: rows[i]["fingerprint"] for i in want} == want
+    # Repeated k-mers, ties of positions, and every number of k-mers around L.
+    made = ["a", "a a", "a a a", "a b", "a b a b a b", "a b c d e", "x " * 700, prose(61, 33), prose(62, 64), prose(63, 129)]
+    order = [(i, t) for i, t in enumerate(made)]
+    likeness = lambda a, b: 1.0 if a == b == "" else sum(a[i : i + 8] == b[i : i + 8] for i in range(0, 512, 8)) / 64 if a and b else 0.0
+    for r in order_minhash.fingerprints(spark.createDataFrame(order, "doc_id long, text string")).collect():
+        t, u = made[r["doc_id"]], made[(r["doc_id"] + 1) % len(made)]
+        q = len(t) // 4
+        a, b, c = brute_fingerprint(t), brute_fingerprint(t[: len(t) - q] + u[:q]), brute_fingerprint(u)
+        assert (r["fingerprint"], r["edited_fingerprint"], r["near_edited"], r["near_next"]) == (a, b, likeness(a, b), likeness(a, c))
+
+
+def test_rows_without_ids_follow_their_hash(spark):
+    rows = [(None, prose(i, 5)) for i in range(40)] + [(i // 2, prose(100 + i, 5)) for i in range(40)]
+    df = spark.createDataFrame(rows, "k long, v string")
+    order = sorted(rows, key=lambda r: (r[0] is not None, (h := spark_hash(r[1])) - (h >> 63 << 64) if r[0] is None else r[0], r[1]))
+    want = sorted((str(a[0]), a[1], b[1]) for a, b in zip(order, order[1:] + order[:1], strict=True))
+    for n in (1, 3, 16):
+        assert sorted((str(r["k"]), r["v"], r["next_v"]) for r in order_minhash.with_next(df.repartition(5), "k", ["v"], n).collect()) == want
+
+
+@pytest.mark.parametrize("n", [20, 60, 240])
+def test_order_matters(spark, n):
+    """Blocks out of order score far lower than set overlap tells, also in short texts."""
+    import random
+
+    rows = []
+    for s in range(60):
+        r, w = random.Random(s), prose(3000 + s, n).split()
+        edited = list(w)
+        for i in r.sample(range(n), n // 10):
+            edited[i] = f"new{s}"
+        rows.append((" ".join(w), " ".join(w[n // 2 :] + w[: n // 2]), " ".join(edited)))
+    df = spark.createDataFrame(rows, "same string, moved string, edited string")
+
+    def means(**how):
+        sketches = df.select(*[order_minhash.sketch(c, **how).alias(c) for c in df.columns])
+        return sketches.select(*[order_minhash.likeness("same", c).alias(c) for c in df.columns]).agg(*[F.avg(c).alias(c) for c in df.columns]).first()
+
+    tuples, single, words_ = means(), means(size=1), means(k=1)
+    assert tuples["same"] == 1.0 and single["moved"] > 0.85  # as a set, little changed
+    assert tuples["moved"] < 0.65 and words_["moved"] < words_["edited"]
 
 
 # --- 6 ---
