@@ -480,10 +480,43 @@ def test_a_common_line_with_many_contexts(spark):
         assert table(suffix_dedup.digests(df, hot)) == want
 
 
-def test_previous_factors():
-    data = np.frombuffer(b"abcdefghijabcdefghijxxabcdefghij", dtype=np.uint8)
-    starts = np.array([0, 10, 22])
-    assert suffix_dedup.previous_factors(data, starts, np.array([5, 5, 6]), 10).tolist() == [False, False, True]
+def test_longest_previous_factors_by_brute_force():
+    rng = np.random.default_rng(5)
+    for width, letters, n in ((10, 2, 300), (10, 3, 300), (50, 2, 400), (7, 2, 200), (4, 3, 120), (50, 1, 130)):
+        data = rng.integers(97, 97 + letters, n + width).astype(np.uint8)
+        starts = np.sort(rng.choice(n, n // 2, replace=False))
+        owner = np.sort(rng.integers(0, n // 8, len(starts)))
+        length, source = suffix_dedup.longest_previous_factors(data, starts, owner, width)
+        for i, s in enumerate(starts):
+            match = [next((k for k in range(width) if data[s + k] != data[o + k]), width) for o in starts]
+            best = max((match[j] for j in range(len(starts)) if owner[j] < owner[i]), default=0)
+            assert length[i] == best and (best == 0 or owner[source[i]] < owner[i] and match[source[i]] == best)
+        order = suffix_dedup.suffix_order(data, starts, width)
+        assert order.tolist() == sorted(range(len(starts)), key=lambda i: (data[starts[i] : starts[i] + width].tobytes(), i))
+    assert [len(x) for x in suffix_dedup.longest_previous_factors(np.zeros(9, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64), 5)] == [0, 0]
+
+
+def test_previous_smaller():
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 2, 3, 17, 64, 255):
+        for v in (rng.integers(0, 9, n), np.arange(n), np.arange(n)[::-1].copy(), np.zeros(n, np.int64)):
+            assert suffix_dedup.previous_smaller(v).tolist() == [max((j for j in range(i) if v[j] < v[i]), default=-1) for i in range(n)]
+
+
+def test_rows_that_share_an_id_keep_their_own_runs(spark):
+    a, b, c = prose(901, 20), prose(902, 20), prose(903, 20)
+    rows = [(1, a), (5, a + c), (5, b + " of its own " + c), (5, a + c), (None, b[:70]), (None, c[:80]), (None, c[:80])]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, row string")
+    least = -(1 << 63)
+    want = brute_repeats([(least if i is None else i, t) for i, t in rows])
+    assert table(suffix_dedup.digests(df)) == sorted(((None if i == least else i, *r) for i, *r in want), key=str)
+    assert suffix_dedup.without_repeats(df).columns == df.columns
+
+
+def test_texts_are_shuffled_once(docs):
+    df = suffix_dedup.without_repeats(docs).drop("n_chars", "lang").withColumn("n_chars", F.length("text"))
+    df.collect()
+    assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_cut_keeps_whole_characters():

@@ -8,19 +8,23 @@ id. Suffixes of the whole corpus can't be sorted in one place, so they are dealt
    in two documents can repeat. Anchors are packed by hash and meet in one exchange; each map
    task first merges what it has, so a very common anchor costs one entry per task.
 2. Around each shared anchor lies a segment: the strings whose anchor it is. Segments meet by
-   the anchor's hash; equal segments are merged in the map task already. Anchors with more places
-   than a partition's even share are hot: their strings meet one by one, by their own hash.
-3. In each bucket of anchors a suffix array, sorted to a depth of WIDTH bytes with ties by
-   document, gives each string's previous factor: its predecessor of smaller document in suffix
-   order (the previous smaller position) matches to that depth exactly if an earlier copy exists.
-4. The covered runs come back to the documents by id and are cut out.
+   the anchor's hash. A map task sends a segment that several of its documents hold once, with
+   the least of these; the others are later copies for certain. Anchors with more places than a
+   partition's even share are hot: their strings meet one by one, by their own hash.
+3. In each bucket of anchors the distinct segments form a text, in the order of their documents;
+   a segment that further documents hold comes in a second time, for all of these. A suffix array
+   of its strings, to a depth of WIDTH bytes, and the previous and the next smaller document in
+   suffix order give each string's longest previous factor: its length and its source. Strings
+   with a factor of WIDTH bytes are covered.
+4. The covered runs come back to the documents and are cut out.
 
 Texts cross the network once: both joins read the same exchange, so both take all columns.
+Partitions and buckets follow the bytes of text (PART, SPREAD), so a task's share and the bucket
+that it holds in memory don't grow with the corpus.
 
-Defined cases: a null text is empty; texts under WIDTH bytes lose nothing; rows with equal ids
-don't count as each other's copies, and if their texts differ the runs found for the id apply to
-each, cut to its length; a null id comes before all others; texts of any length are read in
-pieces that overlap by WIDTH - 1 bytes.
+Defined cases: a null text is empty; texts under WIDTH bytes lose nothing; a null id comes before
+all others; rows with equal ids (null ones too) don't count as each other's copies, and each has
+the runs of its own text; texts of any length are read in pieces that overlap by WIDTH - 1 bytes.
 """
 
 from __future__ import annotations
@@ -41,8 +45,10 @@ WIDTH, GRAM = 50, 16
 #: Bytes hashed at a time (positions must fit _AT bits), and bytes of text a map task merges before it packs.
 PIECE, UNIT = 1 << 18, 32 << 20
 _AT = 21
+#: Bytes of text per partition (there are never fewer than the session's shuffle partitions), buckets per partition.
+PART, SPREAD = 32 << 20, 8
 #: Anchors of a bucket that may be told as frequent.
-FREQUENT = 4
+FREQUENT = 64
 _NO_ID = -(1 << 63)
 
 
@@ -161,33 +167,36 @@ def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
 
-def _per_target(targets: int, doc: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """(target, packed ids and columns): a target is a bucket of documents, so that a task sends
-    a few packs and not a row for each document that it has something on."""
+def _per_target(targets: int, doc: np.ndarray, row: np.ndarray, *columns: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(target, packed ids, rows and columns): a target is a bucket of documents, so that a task
+    sends a few packs and not a row for each document that it has something on."""
     if not len(doc):
         return
-    to = (splitmix(doc.astype(np.int64).view(np.uint64)) % np.uint64(targets)).astype(np.int64)
-    order = np.lexsort((doc, to))
-    to, doc, columns = to[order], doc[order], [c[order] for c in columns]
+    to = (splitmix(doc.astype(np.int64).view(np.uint64) ^ row.view(np.uint64)) % np.uint64(targets)).astype(np.int64)
+    order = np.lexsort((row, doc, to))
+    to, doc, row, columns = to[order], doc[order], row[order], [c[order] for c in columns]
     cuts = _groups(to)
     for a, b in zip(cuts, cuts[1:], strict=False):
-        yield int(to[a]), pack(doc[a:b], *(c[a:b] for c in columns))
+        yield int(to[a]), pack(doc[a:b], row[a:b], *(c[a:b] for c in columns))
+
+
+_BY_DOC = "doc_id long, row long, payload binary"
 
 
 def _by_doc(columns: int):
-    """(doc_id, payload) once for each document of a target, from all packs on it."""
+    """(doc_id, row, payload) once for each document of a target, from all packs on it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in by_group(batches, ("bucket",)):
-            parts = [unpack(x, 1 + columns) for x in t["payload"].to_pylist()]
-            doc, *rest = (np.concatenate([p[i] for p in parts]) for i in range(1 + columns))
-            order = np.argsort(doc, kind="stable")
-            doc, rest = doc[order], [c[order] for c in rest]
-            cuts = _groups(doc)
-            rows = [(int(doc[a]), b"".join(_plain(c[a:b]) for c in rest)) for a, b in zip(cuts, cuts[1:], strict=False)]
+            parts = [unpack(x, 2 + columns) for x in t["payload"].to_pylist()]
+            doc, row, *rest = (np.concatenate([p[i] for p in parts]) for i in range(2 + columns))
+            order = np.lexsort((row, doc))
+            doc, row, rest = doc[order], row[order], [c[order] for c in rest]
+            cuts = _groups(doc, row)
+            rows = [(int(doc[a]), int(row[a]), b"".join(_plain(c[a:b]) for c in rest)) for a, b in zip(cuts, cuts[1:], strict=False)]
             for i in range(0, len(rows), 4096):
-                ids, blobs = zip(*rows[i : i + 4096], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "payload"])
+                ids, which, blobs = zip(*rows[i : i + 4096], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(which, pa.int64()), pa.array(blobs, pa.binary())], names=["doc_id", "row", "payload"])
 
     return run
 
@@ -205,9 +214,14 @@ def _plains(blob: bytes) -> list[np.ndarray]:
     return out
 
 
-def _groups(sorted_: np.ndarray) -> np.ndarray:
-    """Starts of the runs of equal values, and the end."""
-    return np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1], [True]])) if len(sorted_) else np.zeros(1, np.int64)
+def _groups(*sorted_: np.ndarray) -> np.ndarray:
+    """Starts of the runs of equal values (of equal tuples of values), and the end."""
+    if not len(sorted_[0]):
+        return np.zeros(1, np.int64)
+    change = np.zeros(len(sorted_[0]) - 1, dtype=bool)
+    for c in sorted_:
+        change |= c[1:] != c[:-1]
+    return np.flatnonzero(np.concatenate([[True], change, [True]]))
 
 
 # --- step 1: anchors that two documents have -------------------------------------------------
@@ -217,46 +231,46 @@ def _offered(buckets: int, targets: int):
     """Packs a task's anchors by bucket. Those that two of its own documents have are known to be
     shared: their places go straight on (kind 0), and one entry without a document tells others."""
 
-    def packed(keys: list, docs: list, places: list) -> Iterator[pa.RecordBatch]:
-        key, doc, at = np.concatenate(keys), np.concatenate(docs), np.concatenate(places)
+    def packed(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        key, doc, row, at = (np.concatenate(c) for c in zip(*held, strict=True))
         if not len(key):
             return
         order = np.lexsort((doc, key))
-        key, doc, at = key[order], doc[order], at[order]
+        key, doc, row, at = key[order], doc[order], row[order], at[order]
         cuts = _groups(key)
         size = np.diff(cuts)
         shared = np.repeat(doc[cuts[:-1]] != doc[cuts[1:] - 1], size)
-        rows = [(t, 0, blob) for t, blob in _per_target(targets, doc[shared], at[shared])]
+        rows = [(t, 0, blob) for t, blob in _per_target(targets, doc[shared], row[shared], at[shared])]
         told = np.flatnonzero(shared & np.concatenate([[True], key[1:] != key[:-1]]))
         flag = np.zeros(len(key), dtype=np.int64)
         flag[told] = 1
         send = ~shared | (flag > 0)
         at = np.where(flag > 0, np.repeat(size, size), at)  # the entry that tells others has the number of places
-        key, doc, at, flag = key[send], np.where(flag > 0, 0, doc)[send], at[send], flag[send]
+        key, doc, row, at, flag = key[send], np.where(flag > 0, 0, doc)[send], np.where(flag > 0, 0, row)[send], at[send], flag[send]
         to = (key % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(to, kind="stable")
-        key, doc, at, flag, to = key[order], doc[order], at[order], flag[order], to[order]
+        key, doc, row, at, flag, to = key[order], doc[order], row[order], at[order], flag[order], to[order]
         cuts = _groups(to)
         for a, b in zip(cuts, cuts[1:], strict=False):
             k = key[a:b].astype(np.int64)
-            rows.append((int(to[a]), 1, pack(np.diff(k, prepend=0), doc[a:b], at[a:b] * 2 + flag[a:b])))
+            rows.append((int(to[a]), 1, pack(np.diff(k, prepend=0), doc[a:b], row[a:b], at[a:b] * 2 + flag[a:b])))
         for i in range(0, len(rows), 4096):
             yield _rows(rows[i : i + 4096])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         process_memory(None)
-        keys, docs, places, held = [], [], [], 0
+        held, size = [], 0
         for batch in batches:
-            ids = np.asarray(batch.column(0))
-            data, offsets = _texts(batch.column(1))
-            row, key, at, _, _ = _batched_anchors(data, offsets)
-            keys.append(key), docs.append(ids[row]), places.append(at)
-            held += len(data)
-            if held >= UNIT:
-                yield from packed(keys, docs, places)
-                keys, docs, places, held = [], [], [], 0
-        if keys:
-            yield from packed(keys, docs, places)
+            ids, which = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            data, offsets = _texts(batch.column(2))
+            r, key, at, _, _ = _batched_anchors(data, offsets)
+            held.append((key, ids[r], which[r], at))
+            size += len(data)
+            if size >= UNIT:
+                yield from packed(held)
+                held, size = [], 0
+        if held:
+            yield from packed(held)
 
     return run
 
@@ -269,19 +283,20 @@ def _met(targets: int):
             if t["kind"][0].as_py() == 0:
                 yield from t.to_batches()
                 continue
-            parts = [unpack(x, 3) for x in t["payload"].to_pylist()]
+            parts = [unpack(x, 4) for x in t["payload"].to_pylist()]
             key = np.concatenate([np.cumsum(p[0]) for p in parts])
-            doc, at = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
+            doc, row, at = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3))
+            del parts
             flag, at = at & 1, at >> 1
             order = np.argsort(key, kind="stable")
-            key, doc, at, flag = key[order], doc[order], at[order], flag[order]
+            key, doc, row, at, flag = key[order], doc[order], row[order], at[order], flag[order]
             cuts = _groups(key)
             size = np.diff(cuts)
             real = flag == 0
             low = np.minimum.reduceat(np.where(real, doc, np.iinfo(np.int64).max), cuts[:-1])
             high = np.maximum.reduceat(np.where(real, doc, np.iinfo(np.int64).min), cuts[:-1])
             shared = np.repeat((np.add.reduceat(flag, cuts[:-1]) > 0) | (low < high), size) & real
-            out = [(to, 0, blob) for to, blob in _per_target(targets, doc[shared], at[shared])]
+            out = [(to, 0, blob) for to, blob in _per_target(targets, doc[shared], row[shared], at[shared])]
             # Frequent anchors: at most FREQUENT of a bucket, and the bucket's whole number of places.
             places = np.add.reduceat(np.where(real, 1, at), cuts[:-1])
             often = np.flatnonzero(places * FREQUENT >= places.sum())
@@ -291,17 +306,21 @@ def _met(targets: int):
     return run
 
 
-def _hot(met: DataFrame, parts: int, least: int | None) -> frozenset[int]:
-    """Anchors with more places than an even share of a partition (or ``least``): fewer than partitions.
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, n) of frequent anchors; -1 has the number of all places of a bucket."""
+    for batch in batches:
+        for blob in batch.column(0).to_pylist():
+            key, n = unpack(blob, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
 
-    What comes to the driver is FREQUENT + 1 numbers for each bucket, whatever the data.
-    """
-    found = [unpack(r["payload"], 2) for r in met.where("kind = 2").select("payload").collect()]
-    if not found:
-        return frozenset()
-    key, n = (np.concatenate([f[i] for f in found]) for i in range(2))
-    limit = int(n[key < 0].sum()) // parts + 1 if least is None else least
-    return frozenset(key[(key >= 0) & (n >= limit)].tolist())
+
+def _hot(met: DataFrame, parts: int, least: int | None) -> frozenset[int]:
+    """Anchors with more places than an even share of a partition (or ``least``). All places
+    together make up the shares, so these are fewer than there are partitions."""
+    found = met.where("kind = 2").select("payload").mapInArrow(_told, "key long, n long")
+    if least is None:
+        least = (found.where("key < 0").agg(F.sum("n")).first()[0] or 0) // parts + 1
+    return frozenset(r["key"] for r in found.where((F.col("key") >= 0) & (F.col("n") >= least)).collect())
 
 
 # --- steps 2 and 3: segments, suffix order, previous factors ---------------------------------
@@ -309,29 +328,29 @@ def _hot(met: DataFrame, parts: int, least: int | None) -> frozenset[int]:
 
 def _sent(buckets: int, targets: int, hot: frozenset[int]):
     """Segments around shared anchors, packed by bucket. Of equal ones the first document's goes on;
-    later documents' are covered for certain (kind 0). A hot anchor's segments part into single
-    windows that go by their own hash, so that its contexts spread over all buckets."""
+    the task's later documents are covered for certain (kind 0). A hot anchor's segments part into
+    single strings that go by their own hash, so that its contexts spread over all buckets."""
 
     def packed(held: dict) -> Iterator[pa.RecordBatch]:
-        covered: list[tuple[int, int, int]] = []
+        covered: list[tuple[int, int, int, int]] = []
         out: dict[int, list] = {}
         for (key, content), seen in held.items():
             least = min(seen)[0]
             entries = out.setdefault(key % buckets, [])
-            for doc, at in seen:
+            for doc, row, at in seen:
                 if doc == least:
-                    entries.append((key, doc, at, content))
+                    entries.append((key, doc, row, at, content))
                 else:
-                    covered.append((doc, at, at + len(content)))
+                    covered.append((doc, row, at, at + len(content)))
         rows = []
         if covered:
-            doc, a, b = (np.array(c, dtype=np.int64) for c in zip(*covered, strict=True))
-            rows = [(t, 0, blob) for t, blob in _per_target(targets, doc, a, b)]
+            doc, row, a, b = (np.array(c, dtype=np.int64) for c in zip(*covered, strict=True))
+            rows = [(t, 0, blob) for t, blob in _per_target(targets, doc, row, a, b)]
         for bucket, entries in out.items():
-            key, doc, at = (np.array([e[i] for e in entries], dtype=np.int64) for i in range(3))
-            size = np.array([len(e[3]) for e in entries], dtype=np.int64)
-            head = pack(key, doc, at, size)
-            body = pa.compress(b"".join(e[3] for e in entries), codec="zstd", asbytes=True)
+            key, doc, row, at = (np.array([e[i] for e in entries], dtype=np.int64) for i in range(4))
+            size = np.array([len(e[4]) for e in entries], dtype=np.int64)
+            head = pack(key, doc, row, at, size)
+            body = pa.compress(b"".join(e[4] for e in entries), codec="zstd", asbytes=True)
             rows.append((bucket, 1, len(head).to_bytes(8, "little") + head + int(size.sum()).to_bytes(8, "little") + body))
         for i in range(0, len(rows), 2048):
             yield _rows(rows[i : i + 2048])
@@ -341,10 +360,10 @@ def _sent(buckets: int, targets: int, hot: frozenset[int]):
         held: dict = {}
         size = 0
         for batch in batches:
-            ids = np.asarray(batch.column(0))
-            data, offsets = _texts(batch.column(1))
+            ids, which = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            data, offsets = _texts(batch.column(2))
             row, key, at, lo, hi = _batched_anchors(data, offsets)
-            place = batch.column(2)
+            place = batch.column(3)
             cuts = np.searchsorted(row, np.arange(len(ids) + 1))
             whole = data.tobytes()
             for r in range(len(ids)):
@@ -353,7 +372,7 @@ def _sent(buckets: int, targets: int, hot: frozenset[int]):
                     continue
                 wanted = _plains(place[r].as_py())[0]
                 use = a + np.flatnonzero(np.isin(at[a:b], wanted))
-                start, doc = int(offsets[r]), int(ids[r])
+                start, doc, me = int(offsets[r]), int(ids[r]), int(which[r])
                 runs = zip(key[use].tolist(), lo[use].tolist(), hi[use].tolist(), strict=True)
                 if hot:
                     runs = _parted(runs, hot, whole, start)
@@ -361,10 +380,10 @@ def _sent(buckets: int, targets: int, hot: frozenset[int]):
                     content = whole[start + i : start + j + WIDTH - 1]
                     entry = held.get((k, content))
                     if entry is None:
-                        held[(k, content)] = [(doc, i)]
+                        held[(k, content)] = [(doc, me, i)]
                         size += len(content) + 250
                     else:
-                        entry.append((doc, i))
+                        entry.append((doc, me, i))
                         size += 80
             if size >= UNIT * 3:
                 yield from packed(held)
@@ -385,37 +404,101 @@ def _parted(runs, hot: frozenset[int], text: bytes, start: int) -> Iterator[tupl
             yield k, i, j
 
 
-def suffix_order(data: np.ndarray, starts: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """The suffixes at starts sorted by their first width bytes (stable), and whether each equals
-    its predecessor in this order to that depth."""
+def _words(data: np.ndarray, starts: np.ndarray, offset: int) -> np.ndarray:
+    """Eight bytes at an offset from each start, as numbers in the order of the bytes."""
+    return np.lib.stride_tricks.sliding_window_view(data, 8)[starts + offset].view(">u8").ravel().astype(np.uint64)
+
+
+def suffix_order(data: np.ndarray, starts: np.ndarray, width: int = WIDTH) -> np.ndarray:
+    """The suffixes at starts, sorted by their first width bytes; ties stay in their order.
+
+    From the last digit to the first; a digit is a few bytes over the place in the order so far,
+    so one sort of plain numbers is a stable pass.
+    """
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    bits = 24 if len(starts) < 1 << 24 else 32
+    step = (64 - bits) // 8
     order = np.arange(len(starts))
-    equal = np.ones(len(starts), dtype=bool)
-    words = []
-    for k in [*range(0, width - 7, 8), width - 8] if width % 8 else range(0, width, 8):
-        words.append(np.lib.stride_tricks.sliding_window_view(padded, 8)[starts + k].copy().view(">u8").ravel().astype(np.uint64))
-    for w in reversed(words):
-        order = order[np.argsort(w[order], kind="stable")]
-    for w in words:
-        equal[1:] &= w[order][1:] == w[order][:-1]
-    equal[:1] = False
-    return order, equal
-
-
-def previous_factors(data: np.ndarray, starts: np.ndarray, owner: np.ndarray, width: int = WIDTH) -> np.ndarray:
-    """True where the width bytes at a start also start in an owner that is smaller.
-
-    starts must come in ascending order of owner, so that ties of the suffix order are by owner.
-    Within a run of suffixes that agree to the depth, the first has the least owner; the previous
-    smaller owner of any other one, if it has one, is thus in the same run.
+    place = np.arange(len(starts), dtype=np.uint64)
+    for k in reversed([*range(0, width - step, step), max(width - step, 0)]):
+        digit = _words(padded, starts, k) >> np.uint64(bits)
+        if width - k < step:  # a width below one digit: what lies beyond it doesn't count
+            digit = digit >> np.uint64(8 * (step - width + k))
+        digit = digit[order] << np.uint64(bits) | place
+        digit.sort()
+        order = order[(digit & np.uint64((1 << bits) - 1)).astype(np.int64)]
+    return order
+
+
+def previous_smaller(values: np.ndarray) -> np.ndarray:
+    """For each place the nearest one before it with a smaller value, or -1.
+
+    Over a tree of minima: up to the first left neighbour that holds a smaller value, then down
+    to the last such place in it; all places together, level by level.
     """
-    order, equal = suffix_order(data, starts, width)
-    head = np.maximum.accumulate(np.where(equal, 0, np.arange(len(order))))
-    out = np.zeros(len(starts), dtype=bool)
-    out[order] = owner[order[head]] < owner[order]
+    n = len(values)
+    trees = [values]
+    top = np.iinfo(values.dtype).max
+    while len(trees[-1]) > 1:
+        t = trees[-1] if len(trees[-1]) % 2 == 0 else np.append(trees[-1], top)
+        trees.append(np.minimum(t[::2], t[1::2]))
+    out = np.full(n, -1, dtype=np.int64)
+    active, at = np.arange(n), np.arange(n)
+    found: list[np.ndarray] = []
+    for t in trees:
+        hit = (at & 1 == 1) & (t[at - 1] < values[active])
+        found.append(active[hit])
+        out[active[hit]] = at[hit] - 1
+        active, at = active[~hit], at[~hit] >> 1
+        if not len(active):
+            break
+    down = np.zeros(0, dtype=np.int64)
+    for level in range(len(found) - 1, 0, -1):
+        down = np.concatenate([down, found[level]])
+        right, t = 2 * out[down] + 1, trees[level - 1]
+        inside = right < len(t)
+        use = inside & (t[np.where(inside, right, 0)] < values[down])
+        out[down] = np.where(use, right, right - 1)
     return out
 
 
+def common_prefixes(data: np.ndarray, one: np.ndarray, two: np.ndarray, width: int = WIDTH) -> np.ndarray:
+    """How many bytes the strings at two lists of places agree in, width at most."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    out = np.full(len(one), width, dtype=np.int64)
+    live = np.arange(len(one))
+    for k in range(0, width, 8):
+        x = _words(padded, one[live], k) ^ _words(padded, two[live], k)
+        same = np.zeros(len(live), dtype=np.int64)
+        for b in range(1, 8):
+            same += x < np.uint64(1 << 8 * b)
+        differs = x != 0
+        out[live[differs]] = np.minimum(k + same[differs], width)
+        live = live[~differs]
+    return out
+
+
+def longest_previous_factors(data: np.ndarray, starts: np.ndarray, owner: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """For the string at each start: the length of the longest match with a string of a smaller
+    owner, width at most, and which start that is (-1: none).
+
+    Away from a suffix in suffix order matches only get shorter, so the longest one is with the
+    nearest suffix of a smaller owner on either side. starts come in ascending order of owner.
+    """
+    order = suffix_order(data, starts, width)
+    ranked = owner[order]
+    before = previous_smaller(ranked)
+    after = len(order) - 1 - previous_smaller(ranked[::-1])[::-1]
+    length, source = np.zeros(len(order), dtype=np.int64), np.full(len(order), -1, dtype=np.int64)
+    for side in (before, after):
+        has = np.flatnonzero((side >= 0) & (side < len(order)))
+        mine, other = order[has], order[side[has]]
+        match = common_prefixes(data, starts[mine], starts[other], width)
+        better = match > length[mine]
+        length[mine[better]], source[mine[better]] = match[better], other[better]
+    return length, source
+
+
 def _factored(targets: int):
     """(target, runs) of covered bytes, from a bucket's segments."""
 
@@ -424,44 +507,43 @@ def _factored(targets: int):
             if t["kind"][0].as_py() == 0:
                 yield from t.to_batches()
                 continue
-            merged: dict = {}
+            merged: dict[bytes, list] = {}
             for blob in t["payload"].to_pylist():
                 n = int.from_bytes(blob[:8], "little")
-                key, doc, at, size = unpack(blob[8 : 8 + n], 4)
+                _, doc, row, at, size = unpack(blob[8 : 8 + n], 5)
                 total = int.from_bytes(blob[8 + n : 16 + n], "little")
                 body = pa.decompress(blob[16 + n :], decompressed_size=total, codec="zstd", asbytes=True)
                 ends = np.cumsum(size)
-                for k, d, i, a, b in zip(key.tolist(), doc.tolist(), at.tolist(), (ends - size).tolist(), ends.tolist(), strict=True):
-                    merged.setdefault(k, {}).setdefault(body[a:b], []).append((d, i))
-            covered: list[tuple[int, int, int]] = []
-            first: list[tuple[int, bytes, list]] = []
-            for contents in merged.values():
-                for content, seen in contents.items():
-                    least = min(seen)[0]
-                    covered += [(d, i, i + len(content)) for d, i in seen if d > least]
-                    if len(contents) > 1:
-                        first.append((least, content, [i for d, i in seen if d == least]))
-            if first:
-                first.sort(key=lambda x: x[0])
-                data = np.frombuffer(b"".join(f[1] for f in first), dtype=np.uint8)
-                size = np.array([len(f[1]) for f in first], dtype=np.int64)
-                windows = size - WIDTH + 1
-                begin = np.cumsum(size) - size
-                which = np.repeat(np.arange(len(first)), windows)
-                offset = np.arange(len(which)) - np.repeat(np.cumsum(windows) - windows, windows)
-                owner = np.array([f[0] for f in first], dtype=np.int64)
-                hit = previous_factors(data, begin[which] + offset, owner[which])
-                edge = np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8))
-                # Runs of covered windows; those that reach over a segment's end are parted there.
-                for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
-                    while a < b:
-                        f = int(which[a])
-                        stop = min(b, a + int(windows[f] - offset[a]))
-                        covered += [(first[f][0], i + int(offset[a]), i + int(offset[stop - 1]) + WIDTH) for i in first[f][2]]
-                        a = stop
+                for d, r, i, a, b in zip(doc.tolist(), row.tolist(), at.tolist(), (ends - size).tolist(), ends.tolist(), strict=True):
+                    merged.setdefault(body[a:b], []).append((d, r, i))
+            # Each segment for its least document, and once more for all later ones: their factors are the same.
+            text: list[tuple[int, bytes, list]] = []
+            for content, seen in merged.items():
+                least = min(seen)[0]
+                text.append((least, content, [x for x in seen if x[0] == least]))
+                if later := [x for x in seen if x[0] > least]:
+                    text.append((min(later)[0], content, later))
+            del merged
+            if len(text) < 2:
+                continue
+            text.sort(key=lambda x: x[0])
+            data = np.frombuffer(b"".join(x[1] for x in text), dtype=np.uint8)
+            size = np.array([len(x[1]) for x in text], dtype=np.int64)
+            windows = size - WIDTH + 1
+            begin = np.cumsum(size) - size
+            which = np.repeat(np.arange(len(text)), windows)
+            offset = np.arange(len(which)) - np.repeat(np.cumsum(windows) - windows, windows)
+            owner = np.array([x[0] for x in text], dtype=np.int64)
+            length, _ = longest_previous_factors(data, begin[which] + offset, owner[which])
+            hit = length >= WIDTH
+            # Runs of covered strings within a segment.
+            edge = np.concatenate([[True], which[1:] != which[:-1], [True]])
+            opens = np.flatnonzero(hit & (edge[:-1] | ~np.concatenate([[False], hit[:-1]])))
+            closes = np.flatnonzero(hit & (edge[1:] | ~np.concatenate([hit[1:], [False]])))
+            covered = [(d, r, i + a, i + b + WIDTH) for s, a, b in zip(which[opens].tolist(), offset[opens].tolist(), offset[closes].tolist(), strict=True) for d, r, i in text[s][2]]
             if covered:
-                doc, a, b = (np.array(c, dtype=np.int64) for c in zip(*covered, strict=True))
-                yield _rows([(to, 0, blob) for to, blob in _per_target(targets, doc, a, b)])
+                doc, row, a, b = (np.array(c, dtype=np.int64) for c in zip(*covered, strict=True))
+                yield _rows([(to, 0, blob) for to, blob in _per_target(targets, doc, row, a, b)])
 
     return run
 
@@ -482,27 +564,39 @@ def merged_runs(blob: bytes | None, n: int) -> list[tuple[int, int]]:
     return [(s, e) for s, e in zip(a[firsts].tolist(), b[np.append(firsts[1:], len(a)) - 1].tolist(), strict=True) if s < e]
 
 
+def _rowed(docs: DataFrame) -> DataFrame:
+    """doc_id (not null), row, text and the rest as a struct. row is 0, but a hash of the text where
+    the id is null or comes more than once: it tells such rows apart."""
+    more = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rest = F.struct(*more) if more else F.lit(None)
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), rest.alias("rest"))
+    often = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    alone = F.col("doc_id").isNotNull()
+    if not often.isEmpty():
+        whole = whole.join(often, "doc_id", "left")
+        alone = alone & F.col("n").isNull()
+    return whole.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), F.when(alone, F.lit(0).cast("long")).otherwise(F.xxhash64("text")).alias("row"), "text", "rest")
+
+
 def with_runs(docs: DataFrame, hot: int | None = None) -> DataFrame:
-    """doc_id, text, runs (packed covered runs, null where there are none) and the rest as a struct.
+    """doc_id, row, text, runs (packed covered runs, null where there are none) and the rest as a struct.
 
     hot: places from which an anchor counts as hot; by default an even share of a partition.
     """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    more = [c for c in docs.columns if c not in ("doc_id", "text")]
-    rest = F.struct(*more) if more else F.lit(None)
-    whole = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"), rest.alias("rest"))
-    rows = whole.select("doc_id", "text")
-    dealt = whole.repartition(parts, "doc_id")
-    buckets = 2 * parts  # more than partitions, which evens the load
-    by_bucket = lambda df: df.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind")
-    met = stored(by_bucket(rows.mapInArrow(_offered(buckets, parts), _ROWS)).mapInArrow(_met(parts), _ROWS), "places")
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART))
+    buckets = SPREAD * parts
+    whole = _rowed(docs)
+    dealt = whole.repartition(parts, "doc_id", "row")
+    by_bucket = lambda df: df.repartitionById(parts, F.col("bucket") % parts).sortWithinPartitions("bucket", "kind")
+    met = stored(by_bucket(whole.select("doc_id", "row", "text").mapInArrow(_offered(buckets, parts), _ROWS)).mapInArrow(_met(parts), _ROWS), "places")
     often = _hot(met, parts, hot)
-    places = by_bucket(met.where("kind = 0")).mapInArrow(_by_doc(1), "doc_id long, payload binary").withColumnRenamed("payload", "places")
-    sent = dealt.join(places, "doc_id").select("doc_id", "text", "places", "rest").mapInArrow(_sent(buckets, parts, often), _ROWS)
+    places = by_bucket(met.where("kind = 0")).mapInArrow(_by_doc(1), _BY_DOC).withColumnRenamed("payload", "places")
+    sent = dealt.join(places, ["doc_id", "row"]).select("doc_id", "row", "text", "places", "rest").mapInArrow(_sent(buckets, parts, often), _ROWS)
     found = by_bucket(sent).mapInArrow(_factored(parts), _ROWS)
-    runs = by_bucket(found).mapInArrow(_by_doc(2), "doc_id long, payload binary").withColumnRenamed("payload", "runs")
-    return dealt.join(runs, "doc_id", "left").select("doc_id", "text", "runs", "rest")
+    runs = by_bucket(found).mapInArrow(_by_doc(2), _BY_DOC).withColumnRenamed("payload", "runs")
+    return dealt.join(runs, ["doc_id", "row"], "left").select("doc_id", "row", "text", "runs", "rest")
 
 
 _DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -514,7 +608,7 @@ def digests(docs: DataFrame, hot: int | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in range(5)]
-            for doc, text, blobs in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for doc, text, blobs in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
                 data = (text or "").encode()
                 spans, at, kept = merged_runs(blobs, len(data)), 0, hashlib.sha256()
                 for a, b in spans:
@@ -546,14 +640,22 @@ def cut_text(text: str | None, blob: bytes | None) -> str | None:
     return b"".join(out).decode()
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
+def without_repeats(docs: DataFrame, hot: int | None = None) -> DataFrame:
     """The rows of docs with all their columns, texts without what an earlier document has."""
+    rows = with_runs(docs, hot)
 
-    def cut(texts: pa.Array, runs: pa.Array) -> pa.Array:
-        return pa.array([cut_text(t, r) for t, r in zip(texts.to_pylist(), runs.to_pylist(), strict=True)], pa.string())
-
-    own = {"doc_id": F.nullif("doc_id", F.lit(_NO_ID)), "text": F.arrow_udf(cut, "string")("text", "runs")}
-    return with_runs(docs).select(*[own[c].alias(c) if c in own else F.col("rest")[c].alias(c) for c in docs.columns])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [cut_text(t, r) for t, r in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string()), batch.column("rest")], names=["doc_id", "text", "rest"])
+
+    # In one step over all columns: what callers prune later can't part the two uses of the exchange.
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    none = kinds["rest"] == "void"
+    rows = rows.select("doc_id", "text", "runs", F.lit(0).alias("rest") if none else "rest")
+    cut = rows.mapInArrow(run, f"doc_id long, text string, rest {'int' if none else kinds['rest']}")
+    own = {"doc_id": F.nullif("doc_id", F.lit(_NO_ID)), "text": F.col("text")}
+    return cut.select(*[own[c].alias(c) if c in own else F.col("rest")[c].alias(c) for c in docs.columns])
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
