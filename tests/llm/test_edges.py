@@ -389,14 +389,71 @@ def brute_groups(rows, k, limit=80):
     return [(i, len(s), least[g], i == least[g]) for (i, _), s, g in zip(rows, sets, group, strict=True)]
 
 
+def plain_groups(rows, k, limit=80):
+    """brute_groups() of rows whose ids may be null: these come last and name no component."""
+    last = 1 << 62
+    told = brute_groups([(last if i is None else i, t) for i, t in rows], k, limit)
+    return [(None if i == last else i, n, None if c == last else c, kept) for i, n, c, kept in told]
+
+
 @pytest.mark.parametrize("k", [2, 5])
 def test_near_dedup(spark, docs, nothing, nasty, k):
-    rows = [(i, t) for i, t in texts(nasty) if i is not None]
-    assert table(near_dedup.groups(docs, k).where("doc_id IS NOT NULL")) == sorted(brute_groups(rows, k), key=str)
-    assert near_dedup.groups(docs, k).where("doc_id IS NULL").select("kept").collect() == [(True,)]
+    rows = texts(nasty)
+    assert table(near_dedup.groups(docs, k)) == sorted(plain_groups(rows, k), key=str)
     assert near_dedup.groups(nothing, k).count() == 0 and near_dedup.deduplicated(docs, k).columns == docs.columns
 
 
+def test_near_dedup_of_rows_without_ids_and_repeated_rows(spark):
+    w = prose(55, 100).split()
+    near = [" ".join(w[:i] + ["other"] + w[i + 1 :]) for i in range(4)]
+    rows = [(None, near[0]), (7, near[1]), (None, near[0].upper()), (3, near[2]), (None, prose(56, 90)), (None, prose(56, 90)), (9, prose(57, 80)), (9, prose(57, 80)), (9, prose(58, 80)), (4, None), (4, None), (None, "")]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, node string, group int").repartition(4)
+    assert table(near_dedup.groups(df)) == sorted(plain_groups([(i, t or "") for i, t in rows], 5), key=str)
+    kept = near_dedup.deduplicated(df)
+    assert kept.columns == df.columns
+    want = [(3, near[2]), (None, prose(56, 90)), (9, prose(57, 80)), (9, prose(58, 80)), (4, None), (4, None), (None, "")]
+    assert table(kept) == sorted(((*r, "x", 1) for r in want), key=str)
+
+
+def test_heavy_keys_and_blocks(spark):
+    """Joins with heavy keys, and large groups in blocks, answer as plain ones do."""
+    from tidemark.llm import grouping
+
+    r = np.random.default_rng(4)
+    keys = [*np.zeros(900, int).tolist(), *np.full(300, 1).tolist(), *r.integers(2, 90, 400).tolist()]
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k long, v long")
+    named = spark.createDataFrame([(k, f"n{k}") for k in range(0, 90, 1) if k != 5], "k long, name string")
+    for how in ("inner", "left"):
+        assert table(grouping.joined(rows, named, ["k"], how=how).select("k", "v", "name")) == table(rows.join(named, "k", how).select("k", "v", "name"))
+    # Any two rows of different labels meet in a task of across(), or neither is of another than the main label.
+    members = spark.createDataFrame([(1, i, 0 if i < 70 else i % 7) for i in range(100)], "g long, node long, label long")
+    mixed = grouping.main_labels(members, "g")
+    tasks = {}
+    for t in grouping.across(members.join(mixed, "g"), "g", "node", block=10).collect():
+        tasks.setdefault((t["i"], t["j"]), []).append(t)
+    met = {(a["node"], b["node"]) for (i, j), t in tasks.items() for a in t for b in t if i == j or a["left"] != b["left"]}
+    label = {x["node"]: x["label"] for x in members.collect()}
+    assert all((a, b) in met or a == b for a in label for b in label if label[a] != 0 or label[b] != 0)
+    star = spark.createDataFrame([(0, i) for i in range(1, 400)] + [(500 + i, 501 + i) for i in range(0, 300)] + [(900, 901), (901, 900), (7, 7)], "a long, b long")
+    got = dict(map(tuple, grouping.components(star).collect()))
+    assert got == {**{i: 0 for i in range(400)}, **{500 + i: 500 for i in range(301)}, 900: 900, 901: 900}
+
+
+def test_estimates_keep_pairs_at_the_limit():
+    """Measured recall of bands and estimate on long sets, whose slots are nearly independent."""
+    from tidemark.llm import superminhash
+
+    per_band, least = near_dedup.plan(80)
+    r, found, pairs = np.random.default_rng(12), 0, 400
+    for _ in range(pairs):
+        common, own = r.integers(0, 1 << 63, 1600, dtype=np.uint64), r.integers(0, 1 << 63, 400, dtype=np.uint64)
+        sets = [np.sort(np.concatenate([common, own[:200]])), np.sort(np.concatenate([common, own[200:]]))]  # 1600 of 2000
+        sig = superminhash.signatures(np.concatenate(sets), np.array([0, 1800, 3600]), near_dedup.SLOTS)
+        keys = superminhash.bands(sig, per_band)
+        found += bool((sig[0] == sig[1]).sum() >= least and (keys[0] == keys[1]).any())
+    assert found == pairs
+
+
 def test_bands_and_estimate_follow_the_limit(spark, nothing):
     from math import comb
 
@@ -472,7 +529,7 @@ def test_repeats_in_small_alphabets(spark):
         assert table(suffix_dedup.digests(df, hot)) == want
 
 
-def test_a_common_line_with_many_contexts(spark):
+def test_a_common_line_with_many_contexts(spark, monkeypatch):
     line = prose(700, 12)
     rows = [(i, prose(800 + i, 8) + "\n" + line + "\n" + prose(1200 + i % 40, 8)) for i in range(300)]
     df, want = spark.createDataFrame(rows, "doc_id long, text string").repartition(5), sorted(brute_repeats(rows), key=str)
@@ -491,11 +548,31 @@ def test_longest_previous_factors_by_brute_force():
             match = [next((k for k in range(width) if data[s + k] != data[o + k]), width) for o in starts]
             best = max((match[j] for j in range(len(starts)) if owner[j] < owner[i]), default=0)
             assert length[i] == best and (best == 0 or owner[source[i]] < owner[i] and match[source[i]] == best)
-        order = suffix_dedup.suffix_order(data, starts, width)
+        order = suffix_dedup.suffix_order(suffix_dedup.eights(data), starts, width)
         assert order.tolist() == sorted(range(len(starts)), key=lambda i: (data[starts[i] : starts[i] + width].tobytes(), i))
     assert [len(x) for x in suffix_dedup.longest_previous_factors(np.zeros(9, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64), 5)] == [0, 0]
 
 
+def test_portions_change_nothing():
+    import random
+
+    r, packs, want = random.Random(8), [], None
+    segments = [(k, "".join(r.choice("ab") for _ in range(70))) for k in range(12)]
+    for _ in range(5):
+        rows = []
+        for _ in range(30):
+            k, text = r.choice(segments)
+            a = r.randrange(15)
+            rows.append((k, r.randrange(9), 0, r.randrange(1000), text[a : a + r.randint(50, 55)].encode()))
+        key, doc, row, at = (np.array([x[i] for x in rows], dtype=np.int64) for i in range(4))
+        packs.append((key, doc, row, at, np.array([len(x[4]) for x in rows]), b"".join(x[4] for x in rows)))
+    for portions in (1, 3, 40):
+        dealt = suffix_dedup._in_portions(packs, portions)
+        gone = {(d, r, i) for part in range(portions) for d, r, a, b in suffix_dedup._covered(dealt, part) for i in range(a, b)}
+        want = gone if want is None else want
+        assert gone == want and gone
+
+
 def test_previous_smaller():
     rng = np.random.default_rng(6)
     for n in (0, 1, 2, 3, 17, 64, 255):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import sys
 import tempfile
 import types
@@ -12,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 #: ASCII white space as the word rules define it; ``bytes.split()`` splits on exactly these.
 SPACES = " \t\n\x0b\x0c\r"
@@ -24,25 +26,38 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Where the setting is absent (tests, one machine) a temporary folder takes its place.
+    Where the setting is absent on one machine (tests) a temporary folder takes its place; on a
+    cluster such a folder would be another one for each executor, so there its absence is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Cuts the lineage: writes the rows to the shared folder and reads them back.
+def put(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """Cuts the lineage: writes the rows to the shared folder and reads them back; and their path.
 
     A written table outlives lost executors, and later reads prune its columns.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    return put(df, tag)[0]
+
+
+def erase(spark: SparkSession, path: str) -> None:
+    """Removes a table that put() wrote and that no plan reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def process_memory(owner: str | None) -> dict:
@@ -65,8 +80,8 @@ def process_memory(owner: str | None) -> dict:
     return held.setdefault(f"of {owner}", {}) if owner else {}
 
 
-def map_arrow(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None]) -> DataFrame:
-    """Applies work to each Arrow batch; the schema is DDL text."""
+def map_arrow(df: DataFrame, schema: str | T.StructType, work: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table | None]) -> DataFrame:
+    """Applies work to each Arrow batch; the schema is DDL text or a type."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         process_memory(None)

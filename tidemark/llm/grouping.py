@@ -1,4 +1,5 @@
-"""Groups of rows in Arrow streams, block tasks for groups of any size, connected components."""
+"""Groups of rows in Arrow streams, block tasks for groups of any size, joins on keys that may be
+heavy, connected components."""
 
 from __future__ import annotations
 
@@ -9,10 +10,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import process_memory, stored
+from .common import erase, process_memory, put, stored
 
 #: Rows of a group that one task compares with as many others.
 BLOCK = 512
+#: A key of so many rows is heavy; at most so many keys are.
+HEAVY, MOST = 256, 20_000
 
 
 def by_group(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
@@ -39,19 +42,69 @@ def by_group(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterat
         yield pa.Table.from_batches(held)
 
 
-def in_blocks(rows: DataFrame, group: str, node: str, size: str, block: int = BLOCK) -> DataFrame:
-    """Deals each group's rows to block tasks (group, i, j): any two rows of a group meet in one.
+def joined(rows: DataFrame, table: DataFrame, keys: list[str], sizes: DataFrame | None = None, how: str = "inner") -> DataFrame:
+    """rows joined with a table that has each key once; no task gets all rows of a heavy key.
 
-    ``size`` is the column with the group's number of rows. A group of g rows gets about
-    (g / block)**2 / 2 tasks of at most two blocks each, so no task holds more, however large
-    the group is. ``left`` tells whether a row is of block i.
+    A key is heavy if it has more than HEAVY rows and more than one in MOST of all: there can't
+    be more than MOST of these, so their part of the table is broadcast, and only the others'
+    rows are shuffled. sizes: the keys with their number of rows n, if that is known.
+    """
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")) if sizes is None else sizes.select(*keys, "n")
+    told = sizes.agg(F.sum("n").alias("all"), F.max("n").alias("most")).first()
+    least = max(HEAVY, -(-(told["all"] or 0) // MOST))
+    if (told["most"] or 0) <= least:
+        return rows.join(table, keys, how)
+    heavy = sizes.where(F.col("n") > least).select(*keys)
+    marked = rows.join(F.broadcast(heavy.withColumn("__heavy", F.lit(True))), keys, "left")
+    few = F.broadcast(table.join(F.broadcast(heavy), keys, "left_semi"))
+    light, dense = marked.where("__heavy IS NULL").drop("__heavy"), marked.where("__heavy").drop("__heavy")
+    return light.join(table, keys, how).unionByName(dense.join(few, keys, how))
+
+
+def in_blocks(rows: DataFrame, group: str, node: str, size: str, centre: str, block: int = BLOCK) -> DataFrame:
+    """Deals each group's rows to blocks (group, i, j = i) of about ``block`` rows, each once; the
+    group's centre (a boolean column) goes to all of its blocks.
+
+    Groups of at most a block are thus together in one task; a larger group's blocks each meet
+    the centre, which joins most of what is alike in time linear in the group. What is left is
+    for across(). ``size`` is the column with the group's number of rows.
     """
     n = F.ceil(F.col(size) / block).cast("int")
     mine = F.pmod(F.xxhash64(F.lit(77), node), n).cast("int")
-    tasks = F.transform(F.sequence(F.lit(0), n - 1), lambda o: F.struct(F.least(o, mine).alias("i"), F.greatest(o, mine).alias("j"), (mine <= o).alias("left")))
-    names = [c for c in rows.columns if c != size]
-    out = rows.withColumn("__t", F.explode(tasks)).select(*names, F.col("__t.i").alias("i"), F.col("__t.j").alias("j"), F.col("__t.left").alias("left"))
-    return out.repartition(group, "i", "j").sortWithinPartitions(group, "i", "j")
+    names = [c for c in rows.columns if c not in (size, centre)]
+    out = rows.withColumn("i", F.explode(F.when(F.col(centre) & (n > 1), F.sequence(F.lit(0), n - 1)).otherwise(F.array(mine))))
+    return _dealt(out.select(*names, "i", F.col("i").alias("j"), F.lit(True).alias("left")), group)
+
+
+def across(rows: DataFrame, group: str, node: str, block: int = BLOCK) -> DataFrame:
+    """Deals groups' rows to block tasks (group, i, j) so that any two rows with different labels
+    meet in one, but for those of a group's main label, which don't need each other.
+
+    Columns: ``label``; ``main``, the label that most of the group's rows have; ``n_main`` and
+    ``size``, its and all rows. A group with o rows of other labels has about o / block *
+    size / block tasks of at most two blocks each. ``left`` tells whether a row is of block i.
+    """
+    others, mains = (F.ceil(n / block).cast("int") for n in (F.col("size") - F.col("n_main"), F.col("n_main")))
+    is_main = F.col("label") == F.col("main")
+    k = F.pmod(F.xxhash64(F.lit(78), node), F.when(is_main, mains).otherwise(others)).cast("int")
+    task = lambda i, j, left: F.struct(i.alias("i"), j.alias("j"), left.alias("left"))
+    each_other, each_main = F.sequence(F.lit(0), others - 1), F.sequence(others, others + mains - 1)
+    of_main = F.transform(each_other, lambda o: task(o, others + k, F.lit(False)))
+    of_other = F.concat(F.transform(each_other, lambda o: task(F.least(o, k), F.greatest(o, k), k <= o)), F.transform(each_main, lambda m: task(k, m, F.lit(True))))
+    names = [c for c in rows.columns if c not in ("main", "n_main", "size")]
+    out = rows.withColumn("__t", F.explode(F.when(is_main, of_main).otherwise(of_other)))
+    return _dealt(out.select(*names, "__t.i", "__t.j", "__t.left"), group)
+
+
+def _dealt(tasks: DataFrame, group: str) -> DataFrame:
+    return tasks.repartition(group, "i", "j").sortWithinPartitions(group, "i", "j")
+
+
+def main_labels(rows: DataFrame, group: str) -> DataFrame:
+    """group, main, n_main and size of the groups that have several labels, from (group, label)."""
+    counts = rows.groupBy(group, "label").agg(F.count(F.lit(1)).alias("n"))
+    sizes = counts.groupBy(group).agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("size"))
+    return sizes.where("n_main < size")
 
 
 def stars(adjacent: np.ndarray) -> list[tuple[int, int]]:
@@ -72,7 +125,7 @@ def linked(tasks: DataFrame, group: str, alike: Callable[[pa.Table, pa.Table], n
     """(a, b) long: for each block task the components of the rows that alike() finds alike, as
     stars around the least label. Tasks that find the same component thus give the same edges.
 
-    tasks comes from in_blocks() and has columns ``node`` and ``label``. Rows with equal labels
+    tasks comes from in_blocks() or across() and has columns ``node`` and ``label``. Rows with equal labels
     are known to be connected; edges join labels, and a task never emits more than it has labels.
     """
 
@@ -106,24 +159,31 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
 
     Least labels go to neighbours, then each label is replaced by its own label's label; both
     are joins and aggregations, written to shared storage after each round. Paths shorten
-    geometrically, so rounds grow with the logarithm of a component's diameter.
+    geometrically, so rounds grow with the logarithm of a component's diameter. Nodes with very
+    many edges and labels of very many nodes are looked up by broadcast (joined()).
     """
     # A node that hangs on several roots keeps the least one, which takes the others over: equal
     # links between roots merge, and about one edge per node is left for the rounds.
+    spark = edges.sparkSession
     low = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     low = low.withColumn("m", F.min("a").over(Window.partitionBy("b")))
     pairs = F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("b").alias("b")), F.struct(F.col("m").alias("a"), F.col("a").alias("b"))))
     both = low.select(pairs.alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-    both = stored(both.union(both.select("b", "a")), "edges")
-    labels = stored(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")), "labels")
+    both, edges_at = put(both.union(both.select("b", "a")), "edges")
+    degrees, degrees_at = put(both.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.least("a", F.min("b")).alias("label")), "degrees")
+    labels, at = put(degrees.select(F.col("a").alias("node"), "label"), "labels")
     for _ in range(most):
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        after = step.join(jump, "label").select("node", F.least("label", "far").alias("label"), (F.least("label", "far") != F.col("old")).alias("moved"))
-        after = stored(after, "labels")
+        # both has each edge in both directions, so b has as many rows as a.
+        near = joined(both, labels.select(F.col("node").alias("b"), "label"), ["b"], degrees.select(F.col("a").alias("b"), "n"))
+        near = near.groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        step, step_at = put(labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")), "step")
+        after = joined(step, labels.select(F.col("node").alias("label"), F.col("label").alias("far")), ["label"])
+        after = after.select("node", F.least("label", "far").alias("label"), (F.least("label", "far") != F.col("old")).alias("moved"))
+        before = at
+        after, at = put(after, "labels")
+        erase(spark, before), erase(spark, step_at)
         labels = after.select("node", "label")
         if after.where("moved").isEmpty():
+            erase(spark, edges_at), erase(spark, degrees_at)
             return labels
     raise RuntimeError(f"components did not settle in {most} rounds")
-

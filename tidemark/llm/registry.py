@@ -20,4 +20,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
     "op10_license_scan": licenses.op10_license_scan,
 }
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality.OP1_SQL, "op10_license_scan": licenses.OP10_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_quality_rules": quality.OP1_SQL,
+    "op2_sharding": sharding.op2_sql(),
+    "op8_near_dedup": near_dedup.OP8_SQL,
+    "op9_suffix_dedup": suffix_dedup.OP9_SQL,
+    "op10_license_scan": licenses.OP10_SQL,
+}

@@ -65,3 +65,13 @@ def placed(df: DataFrame, key: str, shards: int | tuple[str, ...] = SHARDS, slot
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed(read(spark, sf_dir, "documents").select("doc_id"), "doc_id").select("doc_id", "slot", "shard")
+
+
+def op2_sql() -> str:
+    """The lookup in SQL; the table's owners come as one text, two digits for each slot."""
+    owners = "".join(f"{k:02d}" for k in lookup_table(tuple(f"shard-{i}" for i in range(SHARDS))).tolist())
+    return f"""
+WITH t AS (SELECT unnest(string_split(regexp_replace('{owners}', '(..)', '\\1 ', 'g'), ' ')) AS shard, unnest(range(0, {SLOTS} + 1)) AS slot),
+d AS (SELECT doc_id, CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13))::BIGINT % {SLOTS} AS INTEGER) AS slot FROM documents)
+SELECT doc_id, d.slot, CAST(shard AS INTEGER) AS shard FROM d JOIN t ON t.slot = d.slot
+"""
