@@ -19,8 +19,7 @@ id. Suffixes of the whole corpus can't be sorted in one place, so they are dealt
 4. The covered runs come back to the documents and are cut out.
 
 Texts cross the network once: both joins read the same exchange, so both take all columns.
-Partitions and buckets follow the bytes of text (PART, SPREAD), so a task's share and the bucket
-that it holds in memory don't grow with the corpus.
+Buckets follow the bytes of text (PART), so a task's share doesn't grow with the corpus.
 
 Defined cases: a null text is empty; texts under WIDTH bytes lose nothing; a null id comes before
 all others; rows with equal ids (null ones too) don't count as each other's copies, and each has
@@ -45,8 +44,9 @@ WIDTH, GRAM = 50, 16
 #: Bytes hashed at a time (positions must fit _AT bits), and bytes of text a map task merges before it packs.
 PIECE, UNIT = 1 << 18, 32 << 20
 _AT = 21
-#: Bytes of text per partition (there are never fewer than the session's shuffle partitions), buckets per partition.
-PART, SPREAD = 32 << 20, 8
+#: Bytes of text per bucket of anchors, each a partition (there are never fewer than the session's shuffle
+#: partitions), and strings of a bucket that are sorted at a time.
+PART, PORTION = 32 << 20, 1 << 16
 #: Anchors of a bucket that may be told as frequent.
 FREQUENT = 64
 _NO_ID = -(1 << 63)
@@ -404,29 +404,31 @@ def _parted(runs, hot: frozenset[int], text: bytes, start: int) -> Iterator[tupl
             yield k, i, j
 
 
-def _words(data: np.ndarray, starts: np.ndarray, offset: int) -> np.ndarray:
-    """Eight bytes at an offset from each start, as numbers in the order of the bytes."""
-    return np.lib.stride_tricks.sliding_window_view(data, 8)[starts + offset].view(">u8").ravel().astype(np.uint64)
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number in the order of the bytes; zeros follow the end."""
+    out = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
+    for n in (1, 2, 4):
+        out = out[:-n] << np.uint64(8 * n) | out[n:]
+    return out
 
 
-def suffix_order(data: np.ndarray, starts: np.ndarray, width: int = WIDTH) -> np.ndarray:
+def suffix_order(words: np.ndarray, starts: np.ndarray, width: int = WIDTH) -> np.ndarray:
     """The suffixes at starts, sorted by their first width bytes; ties stay in their order.
 
     From the last digit to the first; a digit is a few bytes over the place in the order so far,
-    so one sort of plain numbers is a stable pass.
+    so one sort of plain numbers is a stable pass. words: eights() of the text.
     """
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    bits = 24 if len(starts) < 1 << 24 else 32
-    step = (64 - bits) // 8
+    bits = next(b for b in (16, 24, 32) if len(starts) <= 1 << b)
+    step, low = (64 - bits) // 8, np.uint64((1 << bits) - 1)
     order = np.arange(len(starts))
     place = np.arange(len(starts), dtype=np.uint64)
     for k in reversed([*range(0, width - step, step), max(width - step, 0)]):
-        digit = _words(padded, starts, k) >> np.uint64(bits)
+        digit = words[starts[order] + k] & ~low
         if width - k < step:  # a width below one digit: what lies beyond it doesn't count
-            digit = digit >> np.uint64(8 * (step - width + k))
-        digit = digit[order] << np.uint64(bits) | place
+            digit &= np.uint64((1 << 64) - (1 << 64 - 8 * width))
+        digit |= place
         digit.sort()
-        order = order[(digit & np.uint64((1 << bits) - 1)).astype(np.int64)]
+        order = order[(digit & low).astype(np.int64)]
     return order
 
 
@@ -462,19 +464,20 @@ def previous_smaller(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def common_prefixes(data: np.ndarray, one: np.ndarray, two: np.ndarray, width: int = WIDTH) -> np.ndarray:
+def common_prefixes(words: np.ndarray, one: np.ndarray, two: np.ndarray, width: int = WIDTH) -> np.ndarray:
     """How many bytes the strings at two lists of places agree in, width at most."""
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
     out = np.full(len(one), width, dtype=np.int64)
     live = np.arange(len(one))
     for k in range(0, width, 8):
-        x = _words(padded, one[live], k) ^ _words(padded, two[live], k)
-        same = np.zeros(len(live), dtype=np.int64)
-        for b in range(1, 8):
-            same += x < np.uint64(1 << 8 * b)
+        x = words[one + k] ^ words[two + k]
         differs = x != 0
-        out[live[differs]] = np.minimum(k + same[differs], width)
-        live = live[~differs]
+        if differs.any():
+            ends, y = live[differs], x[differs]
+            same = np.full(len(y), k, dtype=np.int64)
+            for b in range(1, 8):
+                same += y < np.uint64(1 << 8 * b)
+            out[ends] = np.minimum(same, width)
+            live, one, two = live[~differs], one[~differs], two[~differs]
     return out
 
 
@@ -485,20 +488,66 @@ def longest_previous_factors(data: np.ndarray, starts: np.ndarray, owner: np.nda
     Away from a suffix in suffix order matches only get shorter, so the longest one is with the
     nearest suffix of a smaller owner on either side. starts come in ascending order of owner.
     """
-    order = suffix_order(data, starts, width)
+    words = eights(np.concatenate([data, np.zeros(width, np.uint8)]))
+    order = suffix_order(words, starts, width)
     ranked = owner[order]
     before = previous_smaller(ranked)
     after = len(order) - 1 - previous_smaller(ranked[::-1])[::-1]
     length, source = np.zeros(len(order), dtype=np.int64), np.full(len(order), -1, dtype=np.int64)
     for side in (before, after):
-        has = np.flatnonzero((side >= 0) & (side < len(order)))
+        has = np.flatnonzero((side >= 0) & (side < len(order)) & (length[order] < width))
         mine, other = order[has], order[side[has]]
-        match = common_prefixes(data, starts[mine], starts[other], width)
+        match = common_prefixes(words, starts[mine], starts[other], width)
         better = match > length[mine]
         length[mine[better]], source[mine[better]] = match[better], other[better]
     return length, source
 
 
+def _in_portions(entries: list[tuple], portions: int) -> list[tuple]:
+    """Each pack's (cuts, doc, row, at, first byte, end byte, bytes), dealt to portions by anchor."""
+    out = []
+    for key, doc, row, at, size, body in entries:
+        part = splitmix(key.view(np.uint64)) % np.uint64(portions)
+        order, ends = np.argsort(part, kind="stable"), np.cumsum(size)
+        out.append((np.searchsorted(part[order], np.arange(portions + 1)), *(c[order] for c in (doc, row, at, ends - size, ends)), body))
+    return out
+
+
+def _covered(dealt: list[tuple], part: int) -> list[tuple[int, int, int, int]]:
+    """(doc, row, start, end) of covered runs of one portion of a bucket's segments. Equal strings
+    have equal anchors, so portions don't need each other."""
+    merged: dict[bytes, list] = {}
+    for cuts, *columns, body in dealt:
+        use = slice(cuts[part], cuts[part + 1])
+        for d, r, i, a, b in zip(*(c[use].tolist() for c in columns), strict=True):
+            merged.setdefault(body[a:b], []).append((d, r, i))
+    # Each segment for its least document, and once more for all later ones: their factors are the same.
+    text: list[tuple[int, bytes, list]] = []
+    for content, seen in merged.items():
+        least = min(seen)[0]
+        text.append((least, content, [x for x in seen if x[0] == least]))
+        if later := [x for x in seen if x[0] > least]:
+            text.append((min(later)[0], content, later))
+    del merged
+    if len(text) < 2:
+        return []
+    text.sort(key=lambda x: x[0])
+    data = np.frombuffer(b"".join(x[1] for x in text), dtype=np.uint8)
+    size = np.array([len(x[1]) for x in text], dtype=np.int64)
+    windows = size - WIDTH + 1
+    begin = np.cumsum(size) - size
+    which = np.repeat(np.arange(len(text)), windows)
+    offset = np.arange(len(which)) - np.repeat(np.cumsum(windows) - windows, windows)
+    owner = np.array([x[0] for x in text], dtype=np.int64)
+    length, _ = longest_previous_factors(data, begin[which] + offset, owner[which])
+    hit = length >= WIDTH
+    # Runs of covered strings within a segment.
+    edge = np.concatenate([[True], which[1:] != which[:-1], [True]])
+    opens = np.flatnonzero(hit & (edge[:-1] | ~np.concatenate([[False], hit[:-1]])))
+    closes = np.flatnonzero(hit & (edge[1:] | ~np.concatenate([hit[1:], [False]])))
+    return [(d, r, i + a, i + b + WIDTH) for s, a, b in zip(which[opens].tolist(), offset[opens].tolist(), offset[closes].tolist(), strict=True) for d, r, i in text[s][2]]
+
+
 def _factored(targets: int):
     """(target, runs) of covered bytes, from a bucket's segments."""
 
@@ -507,40 +556,15 @@ def _factored(targets: int):
             if t["kind"][0].as_py() == 0:
                 yield from t.to_batches()
                 continue
-            merged: dict[bytes, list] = {}
+            entries = []
             for blob in t["payload"].to_pylist():
                 n = int.from_bytes(blob[:8], "little")
-                _, doc, row, at, size = unpack(blob[8 : 8 + n], 5)
+                key, doc, row, at, size = unpack(blob[8 : 8 + n], 5)
                 total = int.from_bytes(blob[8 + n : 16 + n], "little")
-                body = pa.decompress(blob[16 + n :], decompressed_size=total, codec="zstd", asbytes=True)
-                ends = np.cumsum(size)
-                for d, r, i, a, b in zip(doc.tolist(), row.tolist(), at.tolist(), (ends - size).tolist(), ends.tolist(), strict=True):
-                    merged.setdefault(body[a:b], []).append((d, r, i))
-            # Each segment for its least document, and once more for all later ones: their factors are the same.
-            text: list[tuple[int, bytes, list]] = []
-            for content, seen in merged.items():
-                least = min(seen)[0]
-                text.append((least, content, [x for x in seen if x[0] == least]))
-                if later := [x for x in seen if x[0] > least]:
-                    text.append((min(later)[0], content, later))
-            del merged
-            if len(text) < 2:
-                continue
-            text.sort(key=lambda x: x[0])
-            data = np.frombuffer(b"".join(x[1] for x in text), dtype=np.uint8)
-            size = np.array([len(x[1]) for x in text], dtype=np.int64)
-            windows = size - WIDTH + 1
-            begin = np.cumsum(size) - size
-            which = np.repeat(np.arange(len(text)), windows)
-            offset = np.arange(len(which)) - np.repeat(np.cumsum(windows) - windows, windows)
-            owner = np.array([x[0] for x in text], dtype=np.int64)
-            length, _ = longest_previous_factors(data, begin[which] + offset, owner[which])
-            hit = length >= WIDTH
-            # Runs of covered strings within a segment.
-            edge = np.concatenate([[True], which[1:] != which[:-1], [True]])
-            opens = np.flatnonzero(hit & (edge[:-1] | ~np.concatenate([[False], hit[:-1]])))
-            closes = np.flatnonzero(hit & (edge[1:] | ~np.concatenate([hit[1:], [False]])))
-            covered = [(d, r, i + a, i + b + WIDTH) for s, a, b in zip(which[opens].tolist(), offset[opens].tolist(), offset[closes].tolist(), strict=True) for d, r, i in text[s][2]]
+                entries.append((key, doc, row, at, size, pa.decompress(blob[16 + n :], decompressed_size=total, codec="zstd", asbytes=True)))
+            portions = sum(int((e[4] - WIDTH + 1).sum()) for e in entries) // PORTION + 1
+            dealt = _in_portions(entries, portions)
+            covered = [x for part in range(portions) for x in _covered(dealt, part)]
             if covered:
                 doc, row, a, b = (np.array(c, dtype=np.int64) for c in zip(*covered, strict=True))
                 yield _rows([(to, 0, blob) for to, blob in _per_target(targets, doc, row, a, b)])
@@ -586,14 +610,13 @@ def with_runs(docs: DataFrame, hot: int | None = None) -> DataFrame:
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART))
-    buckets = SPREAD * parts
     whole = _rowed(docs)
     dealt = whole.repartition(parts, "doc_id", "row")
-    by_bucket = lambda df: df.repartitionById(parts, F.col("bucket") % parts).sortWithinPartitions("bucket", "kind")
-    met = stored(by_bucket(whole.select("doc_id", "row", "text").mapInArrow(_offered(buckets, parts), _ROWS)).mapInArrow(_met(parts), _ROWS), "places")
+    by_bucket = lambda df: df.repartitionById(parts, "bucket").sortWithinPartitions("bucket", "kind")
+    met = stored(by_bucket(whole.select("doc_id", "row", "text").mapInArrow(_offered(parts, parts), _ROWS)).mapInArrow(_met(parts), _ROWS), "places")
     often = _hot(met, parts, hot)
     places = by_bucket(met.where("kind = 0")).mapInArrow(_by_doc(1), _BY_DOC).withColumnRenamed("payload", "places")
-    sent = dealt.join(places, ["doc_id", "row"]).select("doc_id", "row", "text", "places", "rest").mapInArrow(_sent(buckets, parts, often), _ROWS)
+    sent = dealt.join(places, ["doc_id", "row"]).select("doc_id", "row", "text", "places", "rest").mapInArrow(_sent(parts, parts, often), _ROWS)
     found = by_bucket(sent).mapInArrow(_factored(parts), _ROWS)
     runs = by_bucket(found).mapInArrow(_by_doc(2), _BY_DOC).withColumnRenamed("payload", "runs")
     return dealt.join(runs, ["doc_id", "row"], "left").select("doc_id", "row", "text", "runs", "rest")
@@ -660,3 +683,20 @@ def without_repeats(docs: DataFrame, hot: int | None = None) -> DataFrame:
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(read(spark, sf_dir, "documents"))
+
+
+#: Strings as hex digits; texts are cut in two steps, as a place in a long text takes time to find.
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, c, substr(h, 512 * c + 1, 610) AS s, length(h) // 2 - 50 AS most FROM (SELECT doc_id, h, unnest(generate_series(0, (length(h) // 2 - 50) // 256)) AS c FROM d WHERE length(h) >= 100)),
+w AS (SELECT doc_id, 256 * c + k AS i, substr(s, 2 * k + 1, 100) AS s FROM (SELECT doc_id, c, s, unnest(generate_series(0, least(255, most - 256 * c))) AS k FROM p)),
+m AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS least FROM w) WHERE least < doc_id),
+o AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50, true) AS opens FROM m),
+r AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM (SELECT doc_id, i, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM o) GROUP BY doc_id, run),
+k AS (SELECT doc_id, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS a, a AS b FROM r
+      UNION ALL SELECT d.doc_id, coalesce(max(r.b), 0), length(any_value(h)) // 2 FROM d LEFT JOIN r ON r.doc_id = d.doc_id GROUP BY d.doc_id),
+t AS (SELECT k.doc_id, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS h FROM k JOIN d ON d.doc_id = k.doc_id GROUP BY k.doc_id),
+n AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM r GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(t.h)) AS kept_sha256
+FROM d JOIN t ON t.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
