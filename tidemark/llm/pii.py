@@ -2,22 +2,25 @@
 
 Four base kinds are exact patterns and always stay. For the other kinds generators propose
 spans with high recall, which may overlap; boosted trees score each one by its format and the
-words around it, and those over a calibrated threshold are taken, the best of those that
-overlap. A secret within a value that is assigned to a word for credentials (token=...) takes
-all of that value, so that no tail is left. The trees learn from seeded made-up sentences (SAMPLES of them), never from the corpus.
+words around it, and those over a calibrated threshold are taken; those that overlap become
+one span, of the kind of the best. A secret within a value that is assigned to a word for
+credentials (token=...) takes all of that value, so that no tail is left; a private key takes all
+its lines. Base spans are never changed; a learned span may overlap one, unless it lies within.
+The trees learn from seeded made-up sentences (SAMPLES of them), never from the corpus.
 
 Defined cases: a null text is empty and holds nothing; offsets are code points, ends exclusive;
-rows with equal ids are judged one by one; every scan is linear in the text, however long its
-runs of digits, letters or signs are.
+rows with equal ids are judged one by one; of equal scores the longer span names the kind, then
+the first; every scan is linear in the text, however long its runs of digits, letters or signs are.
 """
 
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import math
 import random
 import re
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 from collections import Counter
 
 import numpy as np
@@ -34,7 +37,6 @@ LEARNED = ("email_spelled", "phone_local", "ip6", "iban", "national_id", "secret
 #: Made-up sentences that the trees and their calibration are fitted on, and the precision asked for.
 SAMPLES, PRECISION, SEED = 6000, 0.99, 20240501
 
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]*+$")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
@@ -84,14 +86,53 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 
 # --- candidates -----------------------------------------------------------------------------
 
-_RUN = re.compile(r"(?<![A-Za-z0-9_/+=.-])[A-Za-z0-9_/+-]{16,}+")
+#: A run of letters, digits and signs of base64; single dots join parts, as in signed tokens.
+_RUN = re.compile(r"(?<![A-Za-z0-9_/+=.-])[A-Za-z0-9_/+-]++(?:\.[A-Za-z0-9_-]{8,}+)*+")
 _GENERATORS = (
     ("phone_local", re.compile(r"(?<![0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])")),
-    ("ip6", re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])")),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
     ("national_id", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")),
 )
-_SPELLED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[({] ?at ?[\])}] ?[A-Za-z0-9-]{1,63}+(?: ?(?:\.|[\[({] ?dot ?[\])}]) ?[A-Za-z0-9-]{2,63}+){1,4}", re.I)
+_IP6 = re.compile(r"(?<![0-9A-Za-z:.])[0-9A-Fa-f:]++(?![0-9A-Za-z:])")
+_SPELLED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[({] ?at ?[\])}] ?[A-Za-z0-9-]++(?: ?(?:\.|[\[({] ?dot ?[\])}]) ?[A-Za-z0-9-]{2,}+)++", re.I)
+_KEY_OPENS = re.compile(r"-----BEGIN [A-Z0-9 ]*+(?<=PRIVATE KEY)-----")
+_KEY_CLOSES = re.compile(r"-----END [A-Z0-9 ]*+(?<=PRIVATE KEY)-----")
+#: What follows an opening line that is never closed: lines of base64.
+_KEY_LINES = re.compile(r"(?:\s{0,3}+[A-Za-z0-9+/=]{16,}+)*+")
+
+
+def _is_ip6(s: str) -> bool:
+    if not 2 <= s.count(":") <= 7 or len(s) > 39:
+        return False
+    try:
+        ipaddress.IPv6Address(s)
+    except ValueError:
+        return False
+    return sum(c != ":" for c in s) > 1
+
+
+def private_keys(text: str) -> list[tuple[int, int]]:
+    """Blocks from BEGIN to the next END PRIVATE KEY line, or else as far as lines of base64 go; disjoint."""
+    out, upto, closes = [], 0, None
+    if "PRIVATE KEY-----" in text:
+        for m in _KEY_OPENS.finditer(text):
+            if m.start() < upto:
+                continue
+            if closes is None or closes.start() < m.end():
+                closes = _KEY_CLOSES.search(text, m.end())
+                if closes is None:
+                    closes = _Nowhere
+            upto = closes.end() if closes is not _Nowhere else _KEY_LINES.match(text, m.end()).end()
+            out.append((m.start(), upto))
+    return out
+
+
+class _Nowhere:
+    """The place of a closing line that isn't there: after everything."""
+
+    start = end = staticmethod(lambda: math.inf)
+
+
 _ASSIGNED = re.compile(r"[=:](?=\s{0,3}[\"']?[^\s\"']{6})")
 _VALUE = re.compile(r"\s{0,3}[\"']?([^\s\"']{6,}+)")
 _CREDENTIAL = re.compile(r"(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key)[\"' ]{0,3}$", re.I)
@@ -119,8 +160,11 @@ def candidates(text: str, values: list[tuple[int, int]]) -> list[tuple[str, int,
     if re.search("[0-9]", text):
         for kind, pattern in _GENERATORS:
             out += [(kind, *m.span()) for m in pattern.finditer(text)]
-        out += [("secret", *m.span()) for m in _RUN.finditer(text) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
+        out += [("secret", *m.span()) for m in _RUN.finditer(text) if m.end() - m.start() >= 16 and re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
+    if "::" in text or text.count(":") >= 7:
+        out += [("ip6", *m.span()) for m in _IP6.finditer(text) if _is_ip6(m[0])]
     out += [("secret", *v) for v in values]
+    out += [("secret", *k) for k in private_keys(text)]
     if "[" in text or "(" in text or "{" in text:
         out += [("email_spelled", *m.span()) for m in _SPELLED.finditer(text)]
     return list(dict.fromkeys(out))
@@ -156,7 +200,7 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
     switches = sum(a.isdigit() != b.isdigit() for a, b in zip(s, s[1:], strict=False))
     return [
         n, digits / n, letters / n, uppers / n, sum(c in _HEX for c in s) / n, len(counts) / n, -sum(c / n * math.log2(c / n) for c in counts), switches / n, digits,
-        s.count("-"), s.count("/"), s.count("_"), s.count("."), n in (32, 40, 64), s[:4] == "AKIA" or s[:3] in ("sk_", "pk_", "ghp", "xox"),
+        s.count("-"), s.count("/"), s.count("_"), s.count("."), n in (32, 40, 64), s[:4] == "AKIA" or s[:3] in ("sk_", "pk_", "ghp", "xox"), s[:3] == "eyJ", s[:11] == "-----BEGIN ",
         left.rstrip(" \"'")[-1:] in ("=", ":") and len(left) > 0, left[-1:] in ("\"", "'"), right[:1] in ("\"", "'"), left[-1:] in ("/", "#", "@"),
         *(p.search(left) is not None for p in _CONTEXT), kind == "iban" and _mod97(s), kind == "national_id" and s[:3] not in ("000", "666") and s[0] != "9",
         *(kind == k for k in LEARNED),
@@ -172,7 +216,7 @@ def _made_up(rng: random.Random) -> tuple[str, str, str, int]:
     word = lambda: pick("abcdefghilmnoprstu", rng.randint(2, 9))
     low, up, dig = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     hexa = "0123456789abcdef"
-    shape = rng.randrange(23)
+    shape = rng.randrange(27)
     cue, value, y, quote = "", "", 1, ""
     if shape == 0:
         value, cue = "AKIA" + pick(up + "234567", 16), rng.choice(["", "", "key ", "access key: "])
@@ -221,6 +265,19 @@ def _made_up(rng: random.Random) -> tuple[str, str, str, int]:
             value = pick(low + up + dig + rng.choice(["", "+/", "_-", "!#"]), rng.randint(65, 1500))
         else:
             value = ".".join("eyJ" * (i < 2) + pick(low + up + dig + "_-", n) for i, n in enumerate((rng.randint(17, 60), rng.randint(40, 900), rng.choice([43, 86, 342]))))
+    elif shape == 22:  # a signed token by itself
+        cue = rng.choice(["", "", "bearer ", "header ", "cookie ", "see "])
+        value = ".".join("eyJ" * (i < 2) + pick(low + up + dig + "_-", n) for i, n in enumerate((rng.randint(17, 60), rng.randint(40, 900), rng.choice([43, 86, 342]))))
+    elif shape == 23:
+        cue, kind = rng.choice(["", "key:\n", "\n"]), rng.choice(["", "RSA ", "EC ", "OPENSSH "])
+        body = "\n".join(pick(low + up + dig + "+/", 64) for _ in range(rng.randint(2, 26)))
+        value = f"-----BEGIN {kind}PRIVATE KEY-----\n{body}\n-----END {kind}PRIVATE KEY-----"
+    elif shape == 24:
+        cue = rng.choice(["ip ", "host ", "", "server "])
+        value = f"{rng.choice(['fe80', '2001:db8', 'fd00'])}::" + ":".join(pick(hexa, rng.randint(2, 4)) for _ in range(rng.randint(1, 4)))
+    elif shape == 25:  # names with dots, and scopes
+        cue, y = rng.choice(["see ", "", "file ", "module ", "use "]), 0
+        value = rng.choice([lambda: ".".join(word() + word() + word() for _ in range(rng.randint(2, 4))) + rng.choice(["", "2", ".v1"]), lambda: f"{pick('abcdef', rng.randint(1, 4))}::{pick('abcdef', rng.randint(1, 4))}"])()
     else:
         cue, y = rng.choice(["token: ", "secret: ", "password: ", "token:"]), 0
         value = rng.choice([",", "...", "/", "-"]).join(word() for _ in range(rng.randint(3, 60)))
@@ -258,38 +315,48 @@ def spans_of(text: str, model: Boosted, cut: float) -> tuple[list[tuple[str, int
     if not proposed:
         return base, base
     scores = model.score(np.array([features(text, *c) for c in proposed], dtype=np.float64))
-    taken = sorted((s, e) for _, s, e in base)
-    held = _Cover(taken)
-    extra = []
-    for score, (kind, s, e) in sorted(zip(scores.tolist(), proposed, strict=True), key=lambda x: (-x[0], x[1][1] - x[1][2], x[1])):
-        if kind == "secret":
-            s, e = whole(values, s, e)
-        if score >= cut and held.add(s, e):
-            extra.append((kind, s, e))
+    accepted = []
+    for score, (kind, s, e) in zip(scores.tolist(), proposed, strict=True):
+        if score >= cut:
+            accepted.append((*(whole(values, s, e) if kind == "secret" else (s, e)), score, kind))
     rank = {k: i for i, k in enumerate(BASE + LEARNED)}
+    cover = _Cover(sorted((s, e) for _, s, e in base))
+    extra = [x for x in united(accepted) if not cover.holds(x[1], x[2])]
     return base, sorted(base + extra, key=lambda x: (rank[x[0]], x[1], x[2]))
 
 
+def united(spans: list[tuple[int, int, float, str]]) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of each maximal run of overlapping (start, end, score, kind): the kind of
+    the best score, then of the longest, then of the first."""
+    out: list[list] = []
+    for s, e, score, kind in sorted(spans):
+        better = (score, e - s, -s)
+        if out and s < out[-1][2]:
+            last = out[-1]
+            last[2] = max(last[2], e)
+            if better > last[3]:
+                last[0], last[3] = kind, better
+        else:
+            out.append([kind, s, e, better])
+    return [(k, s, e) for k, s, e, _ in out]
+
+
 class _Cover:
-    """Disjoint intervals; add() takes one in unless it touches what is there."""
+    """What sorted spans cover."""
 
     def __init__(self, spans: list[tuple[int, int]]) -> None:
         self.ends: list[int] = []
         self.starts: list[int] = []
         for s, e in spans:
-            if self.ends and s < self.ends[-1]:
+            if self.ends and s <= self.ends[-1]:
                 self.ends[-1] = max(self.ends[-1], e)
             else:
                 self.starts.append(s)
                 self.ends.append(e)
 
-    def add(self, s: int, e: int) -> bool:
-        i = bisect_left(self.ends, s + 1)
-        if i < len(self.starts) and self.starts[i] < e:
-            return False
-        self.starts.insert(i, s)
-        self.ends.insert(i, e)
-        return True
+    def holds(self, s: int, e: int) -> bool:
+        i = bisect_right(self.starts, s) - 1
+        return i >= 0 and e <= self.ends[i]
 
 
 def told(spans: list[tuple[str, int, int]]) -> str:
