@@ -22,7 +22,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import process_memory, read, stored
@@ -135,18 +135,22 @@ _NAMES = [c.split()[0] for c in _PIECES.split(", ")]
 
 
 def pieces(tokens: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The pieces of stored tokens: one record per document and window that it touches."""
-    totals = sorted((r["part"], r["n"]) for r in tokens.groupBy("part").agg(F.sum("n").alias("n")).collect())
-    base, at = {}, 0
-    for part, n in totals:
-        base[part], at = at, at + n
+    """The pieces of stored tokens: one record per document and window that it touches.
+
+    The partitions' totals, one row each, are summed up in order and broadcast: 16 bytes for each
+    task that wrote tokens, fewer than the scheduler itself keeps for it.
+    """
+    totals = tokens.groupBy("part").agg(F.sum("n").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("base"))
+    placed = tokens.join(F.broadcast(base), "part").select("doc_id", (F.col("base") + F.col("start")).alias("origin"), "n", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in _NAMES]
-            for doc, part, start, n, blob in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for doc, origin, n, blob in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 ids = np.frombuffer(blob, dtype="<u2").astype("<u4")
-                at, origin = 0, base[part] + start
+                at = 0
                 while at < n:
                     sequence, offset = divmod(origin + at, length)
                     size = min(length - offset, n - at)
@@ -155,7 +159,7 @@ def pieces(tokens: DataFrame, length: int = LENGTH) -> DataFrame:
                     at += size
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=_NAMES)
 
-    return tokens.select("doc_id", "part", "start", "n", "ids").mapInArrow(run, _PIECES)
+    return placed.mapInArrow(run, _PIECES)
 
 
 def packed(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> DataFrame:

@@ -1,8 +1,8 @@
 """Quality rules as a bitmask ledger.
 
-Every rule runs once per document. Its measurements and one failure bit per rule are stored;
-a policy is a named, versioned mask over those bits, so changing a policy or asking what a
-rule costs never reads the text again.
+Every rule runs once per document. Its measurements and one failure bit per rule make up a ledger;
+once that is stored, as op1_quality_rules does, a policy is a named, versioned mask over those
+bits, and neither changing a policy nor asking what a rule costs reads the text again.
 
 Defined cases: a null or empty text has no words, so it fails ``short``; lines that hold no
 word never count as duplicates; rows with the same doc_id are judged one by one; other columns
@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, map_arrow, read
+from .common import SPACES, map_arrow, read, stored
 
 SYMBOLS = "#*$%&|<>"
 #: All bytes but ASCII digits, punctuation and control signs: letters of any script and white space.
@@ -124,8 +124,16 @@ def ablations(rows: DataFrame, policy: str = CURRENT) -> DataFrame:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = verdicts(ledger(read(spark, sf_dir, "documents")))
-    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("failed").alias("failed_bits"))
+    """The ledger is stored once; verdicts and ablations read its bits. Beside a document's verdict
+    stand the rule that alone rejects it, if one does, and how many documents that rule rejects alone."""
+    held = stored(ledger(read(spark, sf_dir, "documents")), "ledger")
+    rows = verdicts(held)
+    cost = ablations(held).select(F.col("rule").alias("sole_rule"), F.col("n_only_this").alias("n_sole"))  # one row per rule
+    sole = F.lit(None).cast("string")
+    for r in POLICIES[CURRENT]:
+        sole = F.when(F.col("failed").bitwiseAND(F.lit(mask())) == 1 << RULES.index(r), F.lit(r)).otherwise(sole)
+    rows = rows.withColumn("sole_rule", sole).join(F.broadcast(cost), "sole_rule", "left")
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("failed").alias("failed_bits"), "sole_rule", "n_sole")
 
 
 _CAPITALS = "length(regexp_replace(t, '[^AEIOU]', '', 'g'))"
@@ -147,5 +155,6 @@ b AS (SELECT *, (n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_word
         + 8 * (n_lines >= 4 AND 100 * n_dup_lines > 30 * n_lines)::BIGINT + 16 * (v >= 20 AND 100 * c > 50 * v)::BIGINT
         + 32 * (word_chars > 40 * n_words)::BIGINT + 64 * (2 * k > word_chars)::BIGINT AS failed_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits % 4 <> 0 AS base_failed, failed_bits = 0 AS kept,
-       CAST(failed_bits AS BIGINT) AS failed_bits FROM b
+       CAST(failed_bits AS BIGINT) AS failed_bits, s.rule AS sole_rule, CASE WHEN s.rule IS NOT NULL THEN count(*) OVER (PARTITION BY failed_bits) END AS n_sole
+FROM b LEFT JOIN (VALUES {", ".join(f"({1 << i}, '{r}')" for i, r in enumerate(RULES))}) AS s(bit, rule) ON s.bit = failed_bits
 """

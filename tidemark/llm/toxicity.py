@@ -7,13 +7,16 @@ Forward-backward gives each token's probability of being toxic; a document's sco
 function of their sum and maximum, fitted on the same sample, and tokens of 0.5 or more are the
 offending spans.
 
-Fitting takes a bounded sample of labelled rows (SAMPLE of each label, by a hash of the id), so
-its cost doesn't grow; scoring covers every text whole, in one pass without a shuffle. Texts are
+Fitting takes a bounded sample: SAMPLE labelled ids of each label, the first by a hash of the id,
+less those whose text has more than ROW_BYTES bytes, so neither rows nor bytes grow with the
+corpus. The field's sequences are the surroundings (REACH) of the first HITS marked tokens of each
+sampled document, and of RANDOM other tokens of clean ones; the document score is fitted on whole
+sampled texts. Scoring covers every text whole, in one pass without a shuffle. Texts are
 cut into stretches of STRETCH tokens that overlap by WARM; the chain forgets geometrically, so
 this equals one long pass to within rounding.
 
 Defined cases: null and empty texts have no tokens and get the score of a sum of 0; rows with
-equal ids are scored one by one; without any labelled row of either kind the score is 0.5 less
+equal ids are scored one by one; of rows with one labelled id the least text trains, an id with both labels doesn't; without any labelled row of either kind the score is 0.5 less
 one part in a thousand for all; other columns are never inputs of a score.
 """
 
@@ -31,6 +34,10 @@ from .common import process_memory, read
 
 #: Labelled rows that fitting may use: clean, toxic.
 SAMPLE = (6000, 3000)
+#: Bytes of a labelled text that fitting may use.
+ROW_BYTES = 32_768
+#: Sequences for fitting: tokens on either side, marked tokens of a document, random tokens of a clean one.
+REACH, HITS, RANDOM = 8, 6, 2
 #: Hashed features, tokens of a stretch, overlap, words that a task remembers.
 DIM, STRETCH, WARM, MEMORY = 1 << 18, 2048, 64, 400_000
 #: A marker: log-odds of a feature between toxic and clean documents, and contexts it is seen in.
@@ -148,13 +155,13 @@ def fit(texts: list[str | None], labels: list[int], rounds: int = 80, seed: int
     if "" in number:
         marked[number[""]] = False
     del number
-    reach, sequences = 8, []
+    reach, sequences = REACH, []
     for d, y in zip(docs, toxic, strict=True):
         hit = marked[d] if len(d) else np.zeros(0, dtype=bool)
         # In clean documents what looks like a marker is the most telling counterexample.
-        spots = np.flatnonzero(hit)[:6].tolist()
+        spots = np.flatnonzero(hit)[:HITS].tolist()
         if not y and len(d):
-            spots += rng.integers(0, len(d), size=2).tolist()
+            spots += rng.integers(0, len(d), size=RANDOM).tolist()
         for i in spots:
             lo, hi = max(0, i - reach), min(len(d), i + reach + 1)
             sequences.append((table[d[lo:hi]] & (DIM - 1), hit[lo:hi] & bool(y)))
@@ -229,16 +236,15 @@ def held_out() -> F.Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) -> Field:
-    """Fits on at most ``sample[label]`` rows of each label that aren't held out."""
+    """Fits on at most ``sample[label]`` ids of each label that aren't held out; reads docs once."""
     labelled = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & ~held_out())
-    rows = []
-    for y in (0, 1):
-        picked = labelled.where(F.col("toxic") == y).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample[y])
-        found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")
-        rows += [(r["doc_id"], r["text"], y) for r in found.limit(4 * sample[y]).collect()]
-    rows.sort(key=lambda r: (r[0], r[2], r[1] or ""))
-    texts, known = [r[1] for r in rows], [r[2] for r in rows]
-    del rows, found
+    labelled = labelled.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most").drop("most")
+    picked = [labelled.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample[y]) for y in (0, 1)]
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") <= ROW_BYTES)
+    found = found.join(F.broadcast(picked[0].union(picked[1])), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic"))
+    rows = sorted(found.collect(), key=lambda r: r["doc_id"])
+    texts, known = [r["text"] for r in rows], [r["toxic"] for r in rows]
+    del rows
     return fit(texts, known)
 
 
