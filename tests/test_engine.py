@@ -112,6 +112,29 @@ def test_insert_select_and_analytics(engine):
     assert rows(engine.sql("SELECT s.id FROM src s JOIN sums t ON s.g = t.g WHERE t.total > 5")) == [(1,), (2,)]
 
 
+def test_insert_select_of_equal_keys(engine):
+    engine.sql("CREATE TABLE src (id INT PRIMARY KEY, g TEXT, v INT); INSERT INTO src VALUES (1, 'a', 5), (2, 'a', 7), (3, 'b', 1), (4, 'a', 7)")
+    engine.sql("CREATE TABLE t (g TEXT PRIMARY KEY, v INT)")
+    told = engine.sql("INSERT INTO t SELECT g, v FROM src")
+    assert told.first()["count"] == 2 and rows(engine.sql("SELECT * FROM t")) == [("a", 7), ("b", 1)]
+
+
+def test_prefix_delete_and_functions(engine):
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    engine.sql("CREATE TABLE t (k TEXT, c INT, v TEXT, PRIMARY KEY(k, c)); INSERT INTO t VALUES ('x', 1, 'a'), ('x', 2, 'b'), ('y', 1, 'c')")
+    assert engine.delete_prefix("t", k="x") == 2 and rows(engine.sql("SELECT * FROM t")) == [("y", 1, "c")]
+    with pytest.raises(PartitionKeyError):
+        engine.delete_prefix("t", c=1)
+
+    def shout(values: pa.Array) -> pa.Array:
+        return pc.utf8_upper(values)
+
+    engine.register("shout", shout, "string")
+    assert rows(engine.sql("SELECT shout(v) FROM t")) == [("C",)]
+
+
 def test_quotes_and_text(engine):
     engine.sql(KV)
     engine.sql("INSERT INTO kv VALUES ('a', 'it''s as if; by magic -- no')")
@@ -119,6 +142,7 @@ def test_quotes_and_text(engine):
 
 
 def test_text_tables():
+    # Fixed value: the layout that clients expect.
     assert table_text([{"a": 1}, {"a": 2}]) == "  a\n0 1\n1 2\n(2 rows)\n"
 
 

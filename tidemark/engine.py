@@ -7,11 +7,12 @@ import threading
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .operators.dml import absent, matches, merged
+from .operators.lww import latest
 from .plans import parser as p
 from .plans.lexer import statements
 from .sources.log import Log
@@ -58,10 +59,16 @@ class Engine:
             fs.delete(path, False)
             return
         spec, generation = self.tables[name]
+        # Written beside and renamed: a crash leaves the old definition or the new one.
+        new, _ = self._file(f".{name}.new")
         text = json.dumps({"name": name, "partition": spec.partition, "clustering": spec.clustering, "schema": spec.schema.jsonValue(), "generation": generation})
-        out = fs.create(path, True)
+        out = fs.create(new, True)
         out.write(bytearray(text.encode()))
         out.close()
+        hadoop = self.spark._jvm.org.apache.hadoop.fs
+        how = self.spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+        how[0] = hadoop.Options.Rename.OVERWRITE
+        hadoop.FileContext.getFileContext(path.toUri(), self.spark._jsc.hadoopConfiguration()).rename(new, path, how)
 
     def spec(self, name: str) -> TableSpec:
         if name not in self.tables:
@@ -172,8 +179,13 @@ class Engine:
             rows = found.toDF(*(s.columns or spec.columns))
             if missing := [k for k in spec.keys if k not in rows.columns]:
                 raise PartitionKeyError(f"{spec.name}: key columns {missing} are missing")
+            # A query has no order, so of equal keys the row with the greatest values holds. It runs
+            # once: the rows are counted as they are written.
+            rest = [c for c in rows.columns if c not in spec.keys]
+            seen = Observation()
+            rows = latest(rows, spec.keys, rest or spec.keys).observe(seen, F.count(F.lit(1)).alias("n"))
             self._append(spec, rows, ts, single=False)
-            return self._told("INSERT", found.count())
+            return self._told("INSERT", seen.get["n"])
         rows = self._values(spec, s.columns or spec.columns, s.rows)
         if s.if_not_exists:
             free = not absent(rows, self.table(s.table), spec.keys).isEmpty()
@@ -218,6 +230,22 @@ class Engine:
             self.table(name).createOrReplaceTempView(name)
         return self.spark.sql(s.text)
 
+    def delete_prefix(self, name: str, ts: int | None = None, **prefix) -> int:
+        """Deletes all rows with the given leading key columns; how many there were."""
+        spec = self.spec(name)
+        if not prefix or list(prefix) != list(spec.keys[: len(prefix)]):
+            raise PartitionKeyError(f"{name}: leading key columns of {list(spec.keys)} must be bound, in order")
+        with self.lock:
+            rows, seen = self.table(name), Observation()
+            for k, v in prefix.items():
+                rows = rows.where(F.col(k) == F.lit(v))
+            self._append(spec, rows.select(*spec.keys).observe(seen, F.count(F.lit(1)).alias("n")), self.clock() if ts is None else ts, deleted=True, single=False)
+        return seen.get["n"]
+
+    def register(self, name: str, function: Callable, returns: str) -> None:
+        """Makes a function over Arrow arrays callable in SELECTs."""
+        self.spark.udf.register(name, F.arrow_udf(function, returns))
+
     def partition_keys(self, text: str) -> list[str]:
         """Key columns that a SELECT binds, in key order."""
         s = p.parse(text)

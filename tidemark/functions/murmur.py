@@ -15,7 +15,17 @@ def _rotate(x: np.ndarray, n: int) -> np.ndarray:
 
 
 def murmur3(texts: list[bytes], seed: int = 0) -> np.ndarray:
-    """The hash of each value; four bytes of all values at a time."""
+    """The hash of each value; four bytes of all values of a class of lengths at a time, so that no
+    value is padded to more than twice its own length."""
+    kind = np.array([(len(t) // 4).bit_length() for t in texts], dtype=np.int64)
+    out = np.zeros(len(texts), dtype=np.uint32)
+    for k in np.unique(kind):
+        rows = np.flatnonzero(kind == k)
+        out[rows] = _hashed([texts[i] for i in rows], seed)
+    return out
+
+
+def _hashed(texts: list[bytes], seed: int) -> np.ndarray:
     length = np.array([len(t) for t in texts], dtype=np.uint32)
     width = int(length.max()) // 4 * 4 + 4 if len(length) else 4
     data = np.frombuffer(b"".join(t.ljust(width, b"\0") for t in texts), dtype=np.uint8).reshape(len(texts), width)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def absent(incoming: DataFrame, current: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -44,11 +47,40 @@ def fold_conditional(writes: DataFrame, keys: Sequence[str], order: str, expecte
     """Runs each key's conditional writes one after the other, in ``order``.
 
     A write applies if the value before it equals its expected value (null: no value yet).
-    Returns the keys, how many writes applied and the final value. The fold is an aggregate
-    over the key's own sorted writes, all in the JVM.
+    Returns the keys, how many writes applied and the final value. A key's writes come sorted (by
+    order, then expected and new value) and are folded one by one as they stream past, so a key
+    with very many writes takes time, as it must, but no memory.
     """
-    steps = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(expected).alias("e"), F.col(value).alias("v"))))
-    kind = writes.schema[value].dataType.simpleString()
-    start = F.struct(F.lit(None).cast(kind).alias("v"), F.lit(0).cast("long").alias("n"))
-    step = lambda s, w: F.when(s["v"].eqNullSafe(w["e"]), F.struct(w["v"].alias("v"), (s["n"] + 1).alias("n"))).otherwise(s)
-    return writes.groupBy(*keys).agg(steps.alias("w")).select(*keys, F.aggregate("w", start, step).alias("s")).select(*keys, F.col("s.n").alias("n_applied"), F.col("s.v").alias("final"))
+    keys, schema = list(keys), writes.schema
+    out = T.StructType([*[schema[k] for k in keys], T.StructField("n_applied", T.LongType()), T.StructField("final", schema[value].dataType)])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, n, done = None, None, 0, []
+        for batch in batches:
+            for *now, e, v in zip(*(batch.column(c).to_pylist() for c in (*keys, expected, value)), strict=True):
+                if now != key:
+                    if key is not None:
+                        done.append((*key, n, held))
+                    key, held, n = now, None, 0
+                if held == e:
+                    held, n = v, n + 1
+            if len(done) >= 10_000:
+                yield _batch(done)
+                done = []
+        if key is not None:
+            done.append((*key, n, held))
+        if done:
+            yield _batch(done)
+
+    def _batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=out.names)
+
+    kinds = [to_arrow_type(f.dataType) for f in out.fields]
+    dealt = writes.select(*keys, order, expected, value).repartition(*keys).sortWithinPartitions(*keys, order, expected, value)
+    return dealt.mapInArrow(fold, out)
+
+
+def delete_where(current: DataFrame, condition: Column, ts: str, at: Column, deleted: str) -> DataFrame:
+    """Tombstones, newer than what they delete, for all current rows that a condition holds for: a
+    key prefix, or a whole table."""
+    return current.where(condition).withColumn(ts, at).withColumn(deleted, F.lit(True))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .lww import latest
@@ -37,6 +37,34 @@ def after_replay(log: DataFrame, hints: DataFrame, recovered: DataFrame, keys: S
     return latest(log.unionByName(replayed(hints, recovered)), ["node", *keys], order)
 
 
+def write_outcome(owners: DataFrame, nodes: DataFrame, keys: Sequence[str], need: int) -> tuple[DataFrame, DataFrame]:
+    """(keys, n_acks, ok) of each write, and the hints (keys, node) for replicas that didn't take it.
+
+    owners: a row for each key and replica node; nodes: node, up. A write is ok with ``need``
+    acknowledgements; hints are kept for the others either way, so that they can catch up.
+    """
+    sent = owners.join(F.broadcast(nodes), "node", "left").withColumn("up", F.coalesce("up", F.lit(False)))
+    acks = sent.groupBy(*keys).agg(F.count_if("up").alias("n_acks")).withColumn("ok", F.col("n_acks") >= need)
+    return acks, sent.where("NOT up").select(*keys, "node")
+
+
+def replay_until_failure(hints: DataFrame, order: str, fails: Column) -> DataFrame:
+    """Hints with ``delivered``: per node in order, up to the first one that fails; that one and all
+    after it go back to the queue."""
+    first = hints.where(fails).groupBy("node").agg(F.min(order).alias("__stop"))  # a row for each node
+    return hints.join(F.broadcast(first), "node", "left").withColumn("delivered", F.col("__stop").isNull() | (F.col(order) < F.col("__stop"))).drop("__stop")
+
+
+def merged_counts(answers: DataFrame, statement: str, count: str) -> DataFrame:
+    """How many rows a statement changed: replicas repeat one change, so the greatest answer counts."""
+    return answers.groupBy(statement).agg(F.max(count).alias(count))
+
+
+def merged_names(answers: DataFrame, name: str) -> DataFrame:
+    """The names that any replica knows, in order."""
+    return answers.select(name).distinct().orderBy(name)
+
+
 def ballots(df: DataFrame, slot: Sequence[str], ts: str, salt: str) -> DataFrame:
     """The winning proposal of each slot: the greatest (ts, salt) pair, never a packed number."""
     return latest(df, slot, [ts, salt])

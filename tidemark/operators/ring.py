@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,9 +64,28 @@ def replicas_of(key: str, nodes: list[str], copies: int, vnodes: int = 8) -> lis
 
 
 def required(level: Column, copies: Column) -> Column:
-    """Acknowledgements that a consistency level asks for."""
+    """Acknowledgements that a consistency level asks for. A level may be a number: up to 1 it is
+    ONE, from the number of copies on ALL, between them QUORUM."""
+    n = level.try_cast("int")
+    level = F.when(n <= 1, "ONE").when(n >= copies, "ALL").when(n.isNotNull(), "QUORUM").otherwise(level)
     return F.when(level == "ONE", F.lit(1)).when(level == "QUORUM", F.floor(copies / 2).cast("int") + 1).when(level == "ALL", F.greatest(copies, F.lit(1)))
 
 
+def healthy(now: Column, panic_until: Column, free_bytes: Column, total_bytes: Column, least: float = 0.05) -> Column:
+    """Whether a node calls itself healthy: past its panic time (null: none), and disk enough left."""
+    return (F.coalesce(panic_until, now) <= now) & (free_bytes >= least * total_bytes)
+
+
+def targets(statements: DataFrame, placed: DataFrame, nodes: DataFrame, statement: str, keys: Sequence[str]) -> DataFrame:
+    """(statement, node): the nodes that a statement goes to.
+
+    statements: statement, ``kind`` ('keys', 'broadcast' or 'self'), ``home`` and the key columns,
+    one row for each key; placed: key columns and node, a row for each replica; nodes: node.
+    """
+    of_keys = statements.where("kind = 'keys'").join(placed, list(keys)).select(statement, "node")
+    everywhere = statements.where("kind = 'broadcast'").select(statement).distinct().join(F.broadcast(nodes.select("node")))  # nodes: a ring's
+    return of_keys.union(everywhere).union(statements.where("kind = 'self'").select(statement, F.col("home").alias("node"))).distinct()
+
+
 def alive(last_seen: Column, now: Column, limit_s: int = 8) -> Column:
     return now - last_seen < F.lit(limit_s)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -14,7 +13,8 @@ from .operators import dml, replica, ring, skipping
 from .operators.lww import latest, latest_values, overlay
 from .plans.parser import parse
 from .sources.log import decode_row, encode_row, replay_text_log, split_version, to_text_log, version
-from .streaming.ingest import ingest, resolved
+from .sources.shared import shared_folder, written
+from .streaming.ingest import ingest, resolved, windowed_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -190,8 +190,8 @@ def tombstone_filter(t):
 
 @query("SELECT user_id, arg_max(event_id, ts) AS event_id FROM events GROUP BY user_id")
 def late_write_loses(t):
-    arrival = t("events").orderBy(F.col("ts").desc())  # the newest arrives first: later arrivals are late
-    return latest(arrival.select("user_id", "event_id", "ts"), ["user_id"], ["ts"]).select("user_id", "event_id")
+    """Versions decide, not the order of arrival: no order is asked for, and none would matter."""
+    return latest(t("events").select("user_id", "event_id", "ts"), ["user_id"], ["ts"]).select("user_id", "event_id")
 
 
 @query("SELECT conv_id, turn, role, text FROM conversations")
@@ -277,10 +277,10 @@ def _running(df: DataFrame, by: str, value: str, name: str, *ties: str) -> DataF
     """Adds the running sum of value in the order of by (and ties), without one task for all rows.
 
     Range partitions, a window inside each, and the totals of those before, of which there are as
-    many as partitions. Both uses of the rows read one exchange, so they see the same partitions.
+    many as partitions. The dealt rows are written once, so both uses see the same partitions.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = df.repartitionByRange(parts, by).withColumn("__p", F.spark_partition_id())
+    rows = written(df.repartitionByRange(parts, by).withColumn("__p", F.spark_partition_id()), "ranged")
     totals = rows.groupBy("__p").agg(F.sum(value).alias("__s"))
     before = totals.withColumn("__before", F.coalesce(F.sum("__s").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__p", "__before")
     inside = F.sum(value).over(Window.partitionBy("__p").orderBy(by, *ties).rowsBetween(Window.unboundedPreceding, 0))
@@ -341,8 +341,7 @@ def _engine(t, strict: bool = False, buffer: int = 0):
     from .engine import Engine
 
     spark = t.spark
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    return Engine(spark, f"{root}/engine-{uuid.uuid4().hex}", strict, buffer=buffer)
+    return Engine(spark, f"{shared_folder(spark)}/engine-{uuid.uuid4().hex}", strict, buffer=buffer)
 
 
 @query("SELECT 0 AS n_before_insert, 'b' AS id WHERE true")
@@ -382,9 +381,9 @@ def row_json_codec(t):
     return rows.select(decode_row("row", "p_partkey long, p_name string, p_size int").alias("r")).select("r.*")
 
 
-@query("SELECT 'conv:' || conv_id || '|' || turn AS key, role AS payload FROM conversations")
+@query("SELECT 'conv:' || conv_id || '|' || turn AS key, role || ': ' || text AS payload FROM conversations")
 def wal_replay(t):
-    rows = t("conversations").select(F.concat(F.lit("conv:"), F.col("conv_id"), F.lit("|"), F.col("turn")).alias("key"), F.col("role").alias("payload"))
+    rows = t("conversations").select(F.concat(F.lit("conv:"), F.col("conv_id"), F.lit("|"), F.col("turn")).alias("key"), F.concat("role", F.lit(": "), "text").alias("payload"))
     return replay_text_log(to_text_log(rows, "key", "payload"))
 
 
@@ -413,24 +412,21 @@ def zone_map_build(t):
     return skipping.zone_map(t("orders").withColumn("segment", F.year("o_orderdate").cast("long")), "segment", "o_orderkey")
 
 
-_ZONES = "SELECT o_orderkey // 500 AS segment, min(o_custkey) AS min_key, max(o_custkey) AS max_key FROM orders WHERE o_custkey % 100 < 5 GROUP BY 1"
+_ZONES = "SELECT o_orderkey // 500 AS segment, min(o_custkey) AS min_key, max(o_custkey) AS max_key FROM orders GROUP BY 1"
 
 
 @query(f"SELECT p.key, count(*) AS n_segments FROM (SELECT c_custkey AS key FROM customer WHERE c_custkey % 50 = 0) p JOIN ({_ZONES}) z ON p.key BETWEEN z.min_key AND z.max_key GROUP BY p.key")
 def zone_map_prune(t):
-    """How many zones hold each key: a sweep over zone ends and keys, no key-by-zone join.
-
-    As in the SQL twin, zones are built from the orders of o_custkey % 100 < 5 only, so a segment
-    whose other orders hold a key can be missing from its count.
-    """
-    zones = skipping.zone_map(t("orders").where("o_custkey % 100 < 5").withColumn("segment", F.floor(F.col("o_orderkey") / 500)), "segment", "o_custkey")
+    """How many zones of the whole table hold each key: a sweep over zone ends and keys, no
+    key-by-zone join."""
+    zones = skipping.zone_map(t("orders").withColumn("segment", F.floor(F.col("o_orderkey") / 500)), "segment", "o_custkey")
     probes = t("customer").where("c_custkey % 50 = 0").select(F.col("c_custkey").alias("key"))
     marks = lambda df, key, kind, step: df.select(F.col(key).alias("key"), F.lit(kind).alias("kind"), F.lit(step).cast("long").alias("step"))
     swept = marks(zones, "min_key", 0, 1).union(marks(probes, "key", 1, 0)).union(marks(zones, "max_key", 2, -1))
     return _running(swept, "key", "step", "n_segments", "kind").where("kind = 1 AND n_segments > 0").select("key", "n_segments")
 
 
-_H = "CAST(list_reduce(list_prepend(CAST({s} AS BIGINT), list_transform(string_split(key, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda h, b: (h * {m} + b) % 1024) AS BIGINT)"
+_H = "CAST(list_reduce(list_prepend(CAST({s} AS BIGINT), list_transform(range(strlen(key)), lambda i: ('0x' || substr(hex(encode(key)), 2 * i + 1, 2))::BIGINT)), lambda h, b: (h * {m} + b) % 1024) AS BIGINT)"
 _KEYED = "SELECT o_orderkey // 150 AS segment, CAST(o_orderkey AS VARCHAR) AS key FROM orders"
 _BITS = f"SELECT DISTINCT segment, bit FROM (SELECT segment, {_H.format(s=261, m=33)} AS bit FROM ({_KEYED}) UNION ALL SELECT segment, {_H.format(s=0, m=31)} FROM ({_KEYED}))"
 
@@ -446,14 +442,11 @@ def bloom_build(t):
     return _blooms(t).select("segment", F.size(b).cast("long").alias("n_bits"), F.aggregate(b, F.lit(0).cast("long"), lambda s, x: s + x).alias("bit_sum"), F.array_min(b).alias("low"), F.array_max(b).alias("high"))
 
 
-@query(f"""SELECT p.key, count(*) AS n_segments FROM (SELECT key, {_H.format(s=261, m=33)} AS a, {_H.format(s=0, m=31)} AS b FROM (SELECT CAST(o_orderkey AS VARCHAR) AS key FROM orders WHERE o_orderkey % 97 = 0)) p
+@query(f"""SELECT p.key, count(*) AS n_segments FROM (SELECT key, {_H.format(s=261, m=33)} AS a, {_H.format(s=0, m=31)} AS b FROM (SELECT CAST(o_orderkey AS VARCHAR) AS key FROM orders WHERE o_orderkey % 50 = 0)) p
 JOIN ({_BITS}) x ON x.bit = p.a JOIN ({_BITS}) y ON y.bit = p.b AND y.segment = x.segment GROUP BY p.key""")
 def bloom_probe(t):
-    """Probes are joined on their two bits, not against every segment. As in the SQL twin, only o_orderkey % 97 = 0 is asked for."""
-    probes = t("orders").where("o_orderkey % 97 = 0").select(F.col("o_orderkey").cast("string").alias("key")).withColumn("p", skipping.bit_places(F.col("key")))
-    bits = _blooms(t).select("segment", F.explode("bits").alias("bit"))
-    one = probes.select("key", F.col("p")[0].alias("bit"), F.col("p")[1].alias("b")).join(bits, "bit").select("key", "segment", F.col("b").alias("bit"))
-    return one.join(bits, ["segment", "bit"]).groupBy("key").agg(F.count(F.lit(1)).alias("n_segments"))
+    """Every key divisible by 50 against the filters of all segments, by bitmaps."""
+    return skipping.segments_with(t("orders").where("o_orderkey % 50 = 0").select(F.col("o_orderkey").cast("string").alias("key")), _blooms(t), "segment", "key")
 
 
 _LENGTH = "CAST(length(c_name) + length(c_mktsegment) + 2 AS BIGINT)"
@@ -470,10 +463,10 @@ def sparse_index(t):
     return _index(t)
 
 
-@query(f"""SELECT p.segment, p.key, max(i."offset") AS "offset" FROM (SELECT c_nationkey AS segment, c_custkey AS key FROM customer WHERE c_custkey % 11 = 0) p LEFT JOIN ({_INDEX}) i ON i.segment = p.segment AND i.index_key <= p.key GROUP BY 1, 2""")
+@query(f"""SELECT p.segment, p.key, coalesce(max(i."offset"), 0) AS "offset" FROM (SELECT c_nationkey AS segment, c_custkey - 1 AS key FROM customer) p LEFT JOIN ({_INDEX}) i ON i.segment = p.segment AND i.index_key <= p.key GROUP BY 1, 2""")
 def sparse_seek(t):
-    """As in the SQL twin, only c_custkey % 11 = 0 is asked for."""
-    probes = t("customer").where("c_custkey % 11 = 0").select(F.col("c_nationkey").alias("segment"), F.col("c_custkey").alias("key"))
+    """Keys beside those of the table, so that the first one of a segment lies before its index."""
+    probes = t("customer").select(F.col("c_nationkey").alias("segment"), (F.col("c_custkey") - 1).alias("key"))
     return skipping.seek(probes, _index(t), "segment", "key")
 
 
@@ -485,21 +478,48 @@ def segment_sizes(t):
 # --- replication ----------------------------------------------------------------------------
 
 
-@query()
+def _murmur(source: str) -> str:
+    """SQL: key and hash, MurmurHash3 of 32 bits with seed 0, of the keys of a source."""
+    mix = lambda k: f"(({k}) * 3432918353 % 4294967296)"
+    turn = lambda x, n: f"(({x}) * {1 << n} % 4294967296 + ({x}) // {1 << 32 - n})"
+    scrambled = lambda k: f"({turn(mix(k), 15)} * 461845907 % 4294967296)"
+    byte = "('0x' || substr(x, 2 * {} + 1, 2))::HUGEINT"
+    block = " + ".join(f"{byte.format(f'(4 * i + {j})')} * {1 << 8 * j}" for j in range(4))
+    rest = " + ".join(f"CASE WHEN n % 4 > {j} THEN {byte.format(f'(n // 4 * 4 + {j})')} * {1 << 8 * j} ELSE 0 END" for j in range(3))
+    xor = lambda a, b: f"xor(({a})::BIGINT, ({b})::BIGINT)::HUGEINT"
+    body = f"list_reduce(list_prepend(0::HUGEINT, list_transform(range(n // 4), lambda i: {scrambled(block)})), lambda h, k: ({turn(xor('h', 'k'), 13)} * 5 + 3864292196) % 4294967296)"
+    shift = lambda h, n: xor(h, f"({h}) // {1 << n}")
+    return f"""(SELECT key, CAST({shift('h', 16)} AS BIGINT) AS hash FROM (SELECT key, ({shift('h', 13)}) * 3266489909 % 4294967296 AS h FROM (SELECT key, ({shift('h', 16)}) * 2246822507 % 4294967296 AS h FROM
+        (SELECT key, {xor(xor('h', scrambled(rest)), 'n')} AS h FROM (SELECT key, x, n, {body} AS h FROM (SELECT key, hex(encode(key)) AS x, strlen(key) AS n FROM ({source}))))))) """
+
+
+_RING = f"SELECT min(hash) AS token, substr(key, 1, 2) AS node FROM {_murmur("SELECT 'n' || n || '-' || v AS key FROM range(5) a(n), range(8) b(v)")} GROUP BY hash, substr(key, 1, 2)"
+_PLACED = f"""SELECT key, hash AS token, string_agg(node, ',' ORDER BY far) AS replicas FROM (SELECT key, hash, node, far, row_number() OVER (PARTITION BY key ORDER BY far) AS nth FROM
+    (SELECT key, hash, node, min(CASE WHEN token >= hash THEN token - hash ELSE token - hash + 4294967296 END) AS far FROM {_murmur("SELECT CAST(o_orderkey AS VARCHAR) AS key FROM orders")} k, ({_RING}) r GROUP BY 1, 2, 3)) WHERE nth <= 3 GROUP BY 1, 2"""
+
+
+@query(_RING)
 def ring_tokens(t):
     return ring.ring_table(t.spark, NODES)
 
 
-@query()
+@query(_PLACED)
 def replicas_for(t):
-    return ring.replicas(t("orders").select(F.col("o_orderkey").cast("string").alias("key")), F.col("key"), NODES, 3)
+    rows = ring.replicas(t("orders").select(F.col("o_orderkey").cast("string").alias("key")), F.col("key"), NODES, 3)
+    return rows.withColumn("replicas", F.array_join("replicas", ","))
 
 
-@query()
+@query(f"SELECT key AS c_name, hash FROM {_murmur('SELECT c_name AS key FROM customer')}")
 def murmur3_hash(t):
     return t("customer").select("c_name", murmur3_32("c_name").alias("hash"))
 
 
+@query(f"SELECT hash % 16 AS shard, count(*) AS n_keys, min(key) AS low, max(key) AS high FROM {_murmur('SELECT p_name AS key FROM part')} GROUP BY 1")
+def shard_sizes(t):
+    """Keys dealt to 16 shards by their hash."""
+    return t("part").select((murmur3_32("p_name") % 16).alias("shard"), "p_name").groupBy("shard").agg(F.count(F.lit(1)).alias("n_keys"), F.min("p_name").alias("low"), F.max("p_name").alias("high"))
+
+
 @query("SELECT level, rf, CASE level WHEN 'ONE' THEN 1 WHEN 'QUORUM' THEN rf // 2 + 1 ELSE greatest(rf, 1) END AS required FROM (VALUES ('ONE'), ('QUORUM'), ('ALL')) AS l(level), (SELECT CAST(unnest(range(0, 8)) AS INTEGER) AS rf)")
 def quorum_required(t):
     spark = t.spark
@@ -563,6 +583,114 @@ def count_merge(t):
     return _copies(t).agg(F.countDistinct("o_orderkey").alias("n_merged"), F.count_if(F.col("node") == 0).alias("n_first_replica"))
 
 
+@query("SELECT p_partkey, CASE WHEN p_size % 7 <= 1 THEN 1 WHEN p_size % 7 >= p_size % 5 THEN greatest(p_size % 5, 1) ELSE p_size % 5 // 2 + 1 END AS required FROM part")
+def numeric_levels(t):
+    """Levels as numbers (p_size % 7) for p_size % 5 copies."""
+    return t("part").select("p_partkey", ring.required((F.col("p_size") % 7).cast("string"), F.col("p_size") % 5).alias("required"))
+
+
+@query("SELECT s_suppkey, s_suppkey % 3 <> 0 AND s_acctbal >= 0.05 * 10000 AS healthy FROM supplier")
+def self_health(t):
+    """Every third node is in panic; s_acctbal stands for free space of 10,000."""
+    until = F.when(F.col("s_suppkey") % 3 == 0, 200)
+    return t("supplier").select("s_suppkey", ring.healthy(F.lit(100), until, F.col("s_acctbal"), F.lit(10000)).alias("healthy"))
+
+
+_OWNERS = "SELECT o_orderkey, (o_orderkey + i) % 5 AS node FROM orders, (VALUES (0), (1), (2)) AS r(i)"
+
+
+def _owners(t):
+    return t("orders").select("o_orderkey", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("i")).select("o_orderkey", ((F.col("o_orderkey") + F.col("i")) % 5).alias("node"))
+
+
+def _nodes(t):
+    return t.spark.createDataFrame([(i, i not in (2, 3)) for i in range(5)], "node long, up boolean")
+
+
+@query(f"SELECT o_orderkey, count(*) FILTER (node NOT IN (2, 3)) AS n_acks, count(*) FILTER (node NOT IN (2, 3)) >= 2 AS ok FROM ({_OWNERS}) GROUP BY 1")
+def write_quorum(t):
+    """A write of each order to its three replicas, two nodes of five down, at QUORUM."""
+    return replica.write_outcome(_owners(t), _nodes(t), ["o_orderkey"], 2)[0]
+
+
+@query(f"SELECT o_orderkey, node FROM ({_OWNERS}) WHERE node IN (2, 3)")
+def write_hints(t):
+    return replica.write_outcome(_owners(t), _nodes(t), ["o_orderkey"], 2)[1]
+
+
+@query("""SELECT event_id, event_id % 5 AS node, event_id < coalesce((SELECT min(f.event_id) FROM events f WHERE f.event_type = 'error' AND f.event_id % 5 = e.event_id % 5 AND f.event_id % 100 > 90), 1000000000000) AS delivered FROM events e""")
+def hint_requeue(t):
+    """Hints in order of their ids; some errors fail on replay."""
+    hints = t("events").select("event_id", (F.col("event_id") % 5).alias("node"), "event_type")
+    return replica.replay_until_failure(hints, "event_id", (F.col("event_type") == "error") & (F.col("event_id") % 100 > 90)).select("event_id", "node", "delivered")
+
+
+@query("""SELECT DISTINCT statement, node FROM (SELECT 's' || o_custkey AS statement, (o_orderkey + i) % 5 AS node FROM orders, (VALUES (0), (1), (2)) AS r(i) WHERE o_custkey % 10 <> 0
+UNION ALL SELECT 's' || o_custkey, n FROM orders, range(5) x(n) WHERE o_custkey % 10 = 0 AND o_custkey % 20 <> 0 UNION ALL SELECT 's' || o_custkey, o_custkey % 5 FROM orders WHERE o_custkey % 20 = 0)""")
+def statement_targets(t):
+    """A customer's orders as the keys of a statement; some statements are for all nodes, some for one's own."""
+    c = F.col("o_custkey")
+    kind = F.when(c % 20 == 0, "self").when(c % 10 == 0, "broadcast").otherwise("keys")
+    rows = t("orders").select(F.concat(F.lit("s"), c).alias("statement"), kind.alias("kind"), (c % 5).alias("home"), "o_orderkey")
+    return ring.targets(rows, _owners(t), _nodes(t), "statement", ["o_orderkey"])
+
+
+@query("SELECT event_type, max(n) AS n FROM (SELECT event_type, event_id % 5 AS node, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1")
+def mutation_count_merge(t):
+    answers = t("events").groupBy("event_type", (F.col("event_id") % 5).alias("node")).agg(F.count(F.lit(1)).alias("n"))
+    return replica.merged_counts(answers, "event_type", "n")
+
+
+@query("SELECT DISTINCT lower(p_brand) AS name FROM part")
+def table_names_merge(t):
+    answers = t("part").select((F.col("p_partkey") % 5).alias("node"), F.lower("p_brand").alias("name")).distinct()
+    return replica.merged_names(answers, "name")
+
+
+# --- the engine on whole tables -------------------------------------------------------------
+
+
+@query("""SELECT o_custkey, o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey NOT IN (SELECT min(o_orderkey) FROM orders UNION ALL SELECT max(o_orderkey) FROM orders) AND o_custkey <> 7
+UNION ALL SELECT o_custkey, o_orderkey, 'U', o_totalprice FROM orders WHERE o_orderkey = (SELECT max(o_orderkey) FROM orders) UNION ALL SELECT 0, 0, 'N', 1.5""")
+def engine_orders(t):
+    """All orders through INSERT ... SELECT (twice: the second time changes nothing), then UPDATE,
+    DELETE, a prefix delete, INSERT, compaction and a restart; read back whole."""
+    from .engine import Engine
+
+    e = _engine(t)
+    t("orders").createOrReplaceTempView("engine_source")
+    ends = t("orders").agg(F.min(F.struct("o_orderkey", "o_custkey")).alias("a"), F.max(F.struct("o_orderkey", "o_custkey")).alias("b")).first()
+    e.sql("CREATE TABLE wide (o_custkey INT, o_orderkey INT, o_orderstatus TEXT, o_totalprice DOUBLE, PRIMARY KEY(o_custkey, o_orderkey))")
+    for _ in range(2):
+        e.sql("INSERT INTO wide SELECT o_custkey, o_orderkey, o_orderstatus, o_totalprice FROM engine_source")
+    e.delete_prefix("wide", o_custkey=7)
+    low, high = ends["a"], ends["b"]
+    e.sql(f"DELETE FROM wide WHERE o_custkey = {low[1]} AND o_orderkey = {low[0]}")
+    e.sql(f"UPDATE wide SET o_orderstatus = 'U', o_totalprice = {_price(t, high[0])} WHERE o_custkey = {high[1]} AND o_orderkey = {high[0]}")
+    e.sql("INSERT INTO wide VALUES (0, 0, 'N', 1.5)")
+    e.compact("wide")
+    return Engine(t.spark, e.log.root).sql("SELECT * FROM wide")
+
+
+def _price(t, key: int) -> str:
+    return repr(t("orders").where(F.col("o_orderkey") == key).first()["o_totalprice"])
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM (" + _LATEST + ") WHERE l_orderkey IN (1, 2, 3, 500)")
+def compacted_lookup(t):
+    """A lookup in compacted segments: sorted by key, so that statistics and Bloom filters skip files."""
+    from .sources.log import Log
+    from .spec import TableSpec
+
+    log = Log(t.spark, f"{shared_folder(t.spark)}/log-{uuid.uuid4().hex}")
+    rows = t("lineitem").select(*KEYS, "l_quantity", F.struct(*ORDER).alias("v"))
+    rows = latest(rows, KEYS, ["v"]).drop("v").withColumn("__ts", F.lit(1).cast("long")).withColumn("__seq", F.lit(1).cast("long")).withColumn("__deleted", F.lit(False))
+    spec = TableSpec("lineitem", ("l_orderkey",), ("l_linenumber",), rows.select(*KEYS, "l_quantity").schema)
+    log.append(spec, 1, rows)
+    log.compact(spec, 1, 8)
+    return log.rows(spec, 2).where(F.col("l_orderkey").isin(1, 2, 3, 500))
+
+
 # --- streaming ------------------------------------------------------------------------------
 
 
@@ -570,7 +698,7 @@ def count_merge(t):
 def stream_lww(t):
     """events as a file stream into the log, then the newest row of each user."""
     spark = t.spark
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-")) + f"/stream-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     # A stream reads a folder or a pattern; the table may be one file, so it is given as a pattern.
     stream = spark.readStream.schema(t("events").schema).parquet(f"{t.folder}/events.[p]arquet")
     ingest(stream, f"{root}/log", f"{root}/checkpoint").awaitTermination()
@@ -633,3 +761,55 @@ def bound_keys(t):
         bound = parse(text).bound
         found.append((text, ",".join(k for k in ("o_custkey", "o_orderkey") if k in bound)))
     return t.spark.createDataFrame(found, "sql string, keys string")
+
+
+@query("WITH big AS (SELECT o_custkey, sum(o_totalprice) AS total FROM orders GROUP BY 1), top AS (SELECT * FROM big WHERE total > (SELECT avg(total) FROM big)) SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey IN (SELECT o_custkey FROM top)")
+def cte_subquery(t):
+    t("orders").createOrReplaceTempView("cte_orders"), t("customer").createOrReplaceTempView("cte_customer")
+    return t.spark.sql("WITH big AS (SELECT o_custkey, sum(o_totalprice) AS total FROM cte_orders GROUP BY 1), top AS (SELECT * FROM big WHERE total > (SELECT avg(total) FROM big)) SELECT c_custkey, c_mktsegment FROM cte_customer WHERE c_custkey IN (SELECT o_custkey FROM top)")
+
+
+@query("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
+def group_cube(t):
+    return t("orders").cube("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT l_returnflag, l_linestatus, sum(l_quantity) AS quantity FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), ())")
+def grouping_sets(t):
+    a, b = F.col("l_returnflag"), F.col("l_linestatus")
+    return t("lineitem").groupingSets([[a], [b], []], a, b).agg(F.sum("l_quantity").alias("quantity")).select("l_returnflag", "l_linestatus", "quantity")
+
+
+@query("SELECT coalesce(c_custkey, k) AS key, c_custkey IS NULL AS only_right, k IS NULL AS only_left FROM customer FULL JOIN (SELECT o_custkey + 100 AS k FROM orders GROUP BY 1) o ON c_custkey = k")
+def join_full(t):
+    o = t("orders").select((F.col("o_custkey") + 100).alias("k")).distinct()
+    return t("customer").join(o, F.col("c_custkey") == F.col("k"), "full").select(F.coalesce("c_custkey", "k").alias("key"), F.col("c_custkey").isNull().alias("only_right"), F.col("k").isNull().alias("only_left"))
+
+
+@query("SELECT e.event_id, count(p.event_id) AS n FROM events e JOIN events p ON p.user_id = e.user_id AND p.ts BETWEEN e.ts - INTERVAL 1 DAY AND e.ts GROUP BY 1")
+def join_range(t):
+    """Events of the day before each event: a range frame over the user's events, no pairs."""
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    w = Window.partitionBy("user_id").orderBy(at).rangeBetween(-86_400_000_000, Window.currentRow)
+    return t("events").select("event_id", F.count(F.lit(1)).over(w).alias("n"))
+
+
+@query("SELECT c_custkey, upper(c_mktsegment) AS segment, len(string_split(c_name, '#')) AS n_parts, list_sum(list_transform(range(1, 4), lambda x: x * c_nationkey))::BIGINT AS total, replace(c_name, 'Customer', 'C') AS short FROM customer")
+def text_and_array_functions(t):
+    return t("customer").select(
+        "c_custkey", F.upper("c_mktsegment").alias("segment"), F.size(F.split("c_name", "#")).cast("long").alias("n_parts"),
+        F.aggregate(F.transform(F.sequence(F.lit(1), F.lit(3)), lambda x: x * F.col("c_nationkey")), F.lit(0), lambda a, x: a + x).cast("long").alias("total"), F.replace("c_name", F.lit("Customer"), F.lit("C")).alias("short"),
+    )
+
+
+@query("SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS day, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_windows(t):
+    """Counts per day and kind as a streaming aggregate, each batch's answer merged by the last one."""
+    spark, schema = t.spark, t("events").schema
+    root = f"{shared_folder(spark)}/windows-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(schema).parquet(f"{t.folder}/events.[p]arquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    counts = windowed_counts(stream, "ts", "1 day", "1 day", ["event_type"], "30 days")
+    write = lambda df, number: df.write.mode("overwrite").parquet(f"{root}/out/batch={number}")
+    counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.parquet(f"{root}/out").select("event_type", F.col("window.start").cast("timestamp_ntz").alias("day"), "n", "batch")
+    return latest(rows, ["event_type", "day"], ["batch"]).drop("batch")
