@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import erase, process_memory, put, stored
 
 #: Rows of a group that one task compares with as many others.
-BLOCK = 512
+BLOCK = 256
 #: A key of so many rows is heavy; at most so many keys are.
 HEAVY, MOST = 256, 20_000
 
@@ -42,17 +42,24 @@ def by_group(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterat
         yield pa.Table.from_batches(held)
 
 
-def joined(rows: DataFrame, table: DataFrame, keys: list[str], sizes: DataFrame | None = None, how: str = "inner") -> DataFrame:
+def heaviest(sizes: DataFrame) -> tuple[int, int]:
+    """The number of all rows, and that of the heaviest key, from keys with their number of rows n."""
+    told = sizes.agg(F.sum("n").alias("all"), F.max("n").alias("most")).first()
+    return told["all"] or 0, told["most"] or 0
+
+
+def joined(rows: DataFrame, table: DataFrame, keys: list[str], sizes: DataFrame | None = None, how: str = "inner", told: tuple[int, int] | None = None) -> DataFrame:
     """rows joined with a table that has each key once; no task gets all rows of a heavy key.
 
     A key is heavy if it has more than HEAVY rows and more than one in MOST of all: there can't
     be more than MOST of these, so their part of the table is broadcast, and only the others'
-    rows are shuffled. sizes: the keys with their number of rows n, if that is known.
+    rows are shuffled. sizes: the keys with their number of rows n, if that is known, and told:
+    its heaviest(). Both may be rough: they decide how rows travel, not which meet.
     """
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")) if sizes is None else sizes.select(*keys, "n")
-    told = sizes.agg(F.sum("n").alias("all"), F.max("n").alias("most")).first()
-    least = max(HEAVY, -(-(told["all"] or 0) // MOST))
-    if (told["most"] or 0) <= least:
+    total, most = told or heaviest(sizes)
+    least = max(HEAVY, -(-total // MOST))
+    if most <= least:
         return rows.join(table, keys, how)
     heavy = sizes.where(F.col("n") > least).select(*keys)
     marked = rows.join(F.broadcast(heavy.withColumn("__heavy", F.lit(True))), keys, "left")
@@ -165,25 +172,35 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     # A node that hangs on several roots keeps the least one, which takes the others over: equal
     # links between roots merge, and about one edge per node is left for the rounds.
     spark = edges.sparkSession
-    low = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    low = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     low = low.withColumn("m", F.min("a").over(Window.partitionBy("b")))
     pairs = F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("b").alias("b")), F.struct(F.col("m").alias("a"), F.col("a").alias("b"))))
     both = low.select(pairs.alias("e")).select("e.a", "e.b").where("a <> b").distinct()
-    both, edges_at = put(both.union(both.select("b", "a")), "edges")
+    ways = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    both, edges_at = put(both.select(ways.alias("e")).select("e.a", "e.b"), "edges")
     degrees, degrees_at = put(both.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.least("a", F.min("b")).alias("label")), "degrees")
-    labels, at = put(degrees.select(F.col("a").alias("node"), "label"), "labels")
+    labels, at = degrees.select(F.col("a").alias("node"), "label"), degrees_at
+    # both has each edge in both directions, so b has as many rows as a. A label is held by neighbours at first.
+    sizes = degrees.select(F.col("a").alias("b"), "n")
+    edges_told = told = heaviest(sizes)
+    if not told[0]:
+        return labels
     for _ in range(most):
-        # both has each edge in both directions, so b has as many rows as a.
-        near = joined(both, labels.select(F.col("node").alias("b"), "label"), ["b"], degrees.select(F.col("a").alias("b"), "n"))
+        near = joined(both, labels.select(F.col("node").alias("b"), "label"), ["b"], sizes, told=edges_told)
         near = near.groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        step, step_at = put(labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")), "step")
-        after = joined(step, labels.select(F.col("node").alias("label"), F.col("label").alias("far")), ["label"])
+        step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        held = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+        after = joined(step, labels.select(F.col("node").alias("label"), F.col("label").alias("far")), ["label"], held, told=told)
         after = after.select("node", F.least("label", "far").alias("label"), (F.least("label", "far") != F.col("old")).alias("moved"))
         before = at
         after, at = put(after, "labels")
-        erase(spark, before), erase(spark, step_at)
+        if before != degrees_at:
+            erase(spark, before)
         labels = after.select("node", "label")
-        if after.where("moved").isEmpty():
+        seen = after.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.bool_or("moved").alias("moved"))
+        seen = seen.agg(F.sum("n").alias("all"), F.max("n").alias("most"), F.bool_or("moved").alias("moved")).first()
+        if not seen["moved"]:
             erase(spark, edges_at), erase(spark, degrees_at)
             return labels
+        told = seen["all"], seen["most"]
     raise RuntimeError(f"components did not settle in {most} rounds")

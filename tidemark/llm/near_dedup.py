@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import map_arrow, read, splitmix, stored
-from .grouping import BLOCK, across, components, in_blocks, joined, linked, main_labels
+from .grouping import BLOCK, MOST, across, components, heaviest, in_blocks, joined, linked, main_labels
 from .shingles import chunks, shingles
 from .superminhash import bands, signatures
 
@@ -162,9 +162,9 @@ def _labelled(classes: DataFrame, labels: DataFrame | None) -> DataFrame:
     return classes.join(labels.withColumnRenamed("label", "__l"), "node", "left").withColumn("label", F.coalesce("__l", "node")).drop("__l")
 
 
-def _met(classes: DataFrame, bands_: Column, least: int) -> tuple[DataFrame, bool]:
+def _met(classes: DataFrame, bands_: Column, least: int) -> tuple[DataFrame, DataFrame | None]:
     """Edges (a, b) between labels whose members share a band and have ``least`` equal slots, and
-    whether some bucket is larger than a block, so that not all its members were compared.
+    the buckets larger than a block, not all of whose members were compared.
 
     Buckets of one label have nothing to add; of those with the same members one is enough.
     """
@@ -174,10 +174,11 @@ def _met(classes: DataFrame, bands_: Column, least: int) -> tuple[DataFrame, boo
         F.min("label").alias("low"), F.max("label").alias("high"), F.min("node").alias("first"),
     )
     held = stored(held.where("low < high").groupBy("n", "x", "y", "first").agg(F.min("bucket").alias("bucket")), "buckets")
-    members = joined(entries, held.select("bucket", F.col("n").alias("size"), "first"), ["bucket"], held)
+    told = heaviest(held)
+    members = joined(entries, held.select("bucket", F.col("n").alias("size"), "first"), ["bucket"], held, told=told)
     signed = members.withColumn("centre", F.col("node") == F.col("first")).drop("first").join(classes.select("node", "signature"), "node")
     edges = stored(linked(in_blocks(signed, "bucket", "node", "size", "centre"), "bucket", _estimates(least)), "near")
-    return edges, not held.where(F.col("n") > BLOCK).isEmpty()
+    return edges, held.where(F.col("n") > BLOCK).select("bucket") if told[1] > BLOCK else None
 
 
 def _candidates(classes: DataFrame, per_band: int, least: int) -> DataFrame:
@@ -187,33 +188,35 @@ def _candidates(classes: DataFrame, per_band: int, least: int) -> DataFrame:
     early, large = _met(_labelled(classes, None), F.slice("bands", 1, first), least)
     late, more = _met(_labelled(classes, components(early)), F.slice("bands", first + 1, many - first), least)
     found = early.union(late)
-    if large or more:  # members of large buckets that their centres didn't join
-        known = _labelled(classes, components(found))
-        entries = known.select(F.explode("bands").alias("bucket"), "node", "label")
-        mixed = stored(main_labels(entries, "bucket").where(F.col("size") > BLOCK), "mixed")
+    if larges := [x for x in (large, more) if x is not None]:  # members of large buckets that their centres didn't join
+        large = larges[0].union(larges[-1]).distinct()
+        n = large.count()
+        entries = _labelled(classes, components(found)).select(F.explode("bands").alias("bucket"), "node", "label")
+        inside = stored(entries.join(F.broadcast(large) if n <= MOST else large, "bucket"), "inside")
+        mixed = stored(main_labels(inside, "bucket"), "mixed")
         if not mixed.isEmpty():
-            members = joined(entries, mixed, ["bucket"], mixed.withColumn("n", F.col("size"))).join(classes.select("node", "signature"), "node")
+            members = joined(inside, mixed, ["bucket"], mixed.withColumn("n", F.col("size"))).join(classes.select("node", "signature"), "node")
             found = found.union(stored(linked(across(members, "bucket", "node"), "bucket", _estimates(least)), "near"))
     return components(found)
 
 
 def _verified(clusters: DataFrame, texts: DataFrame, words: int, limit: int) -> DataFrame:
     """(node, label) of true links: within each candidate cluster full sets are compared."""
-    clusters = stored(clusters.select("node", F.col("label").alias("cluster")), "clusters")
+    clusters = clusters.select("node", F.col("label").alias("cluster"))
     sizes = stored(clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")), "sizes")
-    rows = joined(clusters, sizes.withColumnRenamed("n", "size"), ["cluster"], sizes).join(texts, "node")
+    told = heaviest(sizes)
+    # The texts of clustered classes, once: they serve both rounds.
+    rows = stored(joined(clusters, sizes.withColumnRenamed("n", "size"), ["cluster"], sizes, told=told).join(texts, "node"), "clustered")
     sets = _sets(rows, words).withColumn("label", F.col("node")).withColumn("centre", F.col("node") == F.col("cluster"))
     true = stored(linked(in_blocks(sets, "cluster", "node", "size", "centre"), "cluster", _exact(limit)), "true")
-    large = sizes.where(F.col("n") > BLOCK)
-    if large.isEmpty():
+    if told[1] <= BLOCK:
         return components(true)
-    inside = joined(clusters, large.select("cluster", F.col("n").alias("whole")), ["cluster"], sizes)
-    known = stored(_labelled(inside.drop("whole"), components(true)), "known")
+    known = stored(_labelled(rows.where(F.col("size") > BLOCK).drop("size"), components(true)), "known")
     mixed = stored(main_labels(known, "cluster"), "mixed")
     if mixed.isEmpty():
         return components(true)
-    left = joined(known, mixed, ["cluster"], mixed.withColumn("n", F.col("size"))).join(texts, "node")
-    return components(true.union(stored(linked(across(_sets(left, words), "cluster", "node"), "cluster", _exact(limit)), "true")))
+    left = _sets(joined(known, mixed, ["cluster"], mixed.withColumn("n", F.col("size"))), words)
+    return components(true.union(stored(linked(across(left, "cluster", "node"), "cluster", _exact(limit)), "true")))
 
 
 def _answered(docs: DataFrame, words: int, limit: int) -> DataFrame:
@@ -226,13 +229,12 @@ def _answered(docs: DataFrame, words: int, limit: int) -> DataFrame:
     copies = rows.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min("rid").alias("node"), F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n"))
     copies = stored(copies, "copies")
     classes = stored(rows.select(F.col("rid").alias("node"), "signature", "bands").join(copies.select("node"), "node"), "classes")
-    true = stored(_verified(_candidates(classes, per_band, least), rows.select(F.col("rid").alias("node"), "text"), words, limit), "groups")
+    true = _verified(_candidates(classes, per_band, least), rows.select(F.col("rid").alias("node"), "text"), words, limit)
     # A component's id is the least doc_id of its classes.
-    ids = _labelled(copies.select("d1", "d2", "node", "first_id", "n"), true)
+    ids = _labelled(copies.select("d1", "d2", "node", "first_id"), true)
     least_id = stored(ids.groupBy("label").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "ids")
-    named = joined(ids.withColumnRenamed("n", "rows"), least_id.select("label", "component_id"), ["label"], least_id)
-    named = stored(named.select("d1", "d2", F.col("label").alias("group"), "component_id", F.col("rows").alias("n")), "named")
-    full = joined(rows.where("n_shingles > 0"), named.drop("n"), ["d1", "d2"], named)
+    named = joined(ids, least_id.select("label", "component_id"), ["label"], least_id).select("d1", "d2", F.col("label").alias("group"), "component_id")
+    full = joined(rows.where("n_shingles > 0"), named, ["d1", "d2"], copies)
     return full.unionByName(rows.where("n_shingles = 0").withColumn("group", F.lit(None).cast("long")).withColumn("component_id", F.col("doc_id")))
 
 
