@@ -394,6 +394,13 @@ def test_toxicity_sample(spark):
     for docs_ in (again, again.orderBy(F.desc("doc_id"))):
         got = toxicity.train(docs_, more)
         assert np.allclose(got.weight, want.weight) and np.allclose(got.document, want.document)
+    # The bound on bytes ends the order by hash: the rest of a label's documents doesn't train.
+    usable = rows.join(labels, "doc_id").where(~toxicity.held_out()).orderBy(F.xxhash64("doc_id")).collect()
+    toxic, clean = ([r for r in usable if r["toxic"] == y] for y in (1, 0))
+    size = tuple(sum(len(r["text"]) for r in part[:90]) for part in (clean, toxic))
+    want_part = toxicity.train(rows.where(F.col("doc_id").isin([r["doc_id"] for r in toxic[:90] + clean[:90]])), labels)
+    got = toxicity.train(rows, labels, size=size)
+    assert np.allclose(got.weight, want_part.weight) and np.allclose(got.document, want_part.document)
     field = toxicity.Field()
     field.document = np.zeros(3)
     assert field.score(np.zeros(1), np.zeros(1))[0] == 0.5  # a tie counts as toxic, in both uses

@@ -8,8 +8,9 @@ function of their sum and maximum, fitted on the same sample, and tokens of 0.5
 offending spans.
 
 Fitting takes a bounded sample: SAMPLE labelled ids of each label, the first by a hash of the id,
-less those whose text has more than ROW_BYTES bytes, so neither rows nor bytes grow with the
-corpus. The field's sequences are the surroundings (REACH) of the first HITS marked tokens of each
+as far as their whole texts come to BYTES, texts of more than ROW_BYTES aside, so neither rows nor
+bytes grow with the corpus. Long texts belong in it: they hold most of the clean words that look
+like markers. The field's sequences are the surroundings (REACH) of the first HITS marked tokens of each
 sampled document, and of RANDOM other tokens of clean ones; the document score is fitted on whole
 sampled texts. Scoring covers every text whole, in one pass without a shuffle. Texts are
 cut into stretches of STRETCH tokens that overlap by WARM; the chain forgets geometrically, so
@@ -27,15 +28,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import process_memory, read
 
 #: Labelled rows that fitting may use: clean, toxic.
 SAMPLE = (6000, 3000)
-#: Bytes of a labelled text that fitting may use.
-ROW_BYTES = 32_768
+#: Bytes of one labelled text that fitting may use, and of all texts of a label: clean, toxic.
+ROW_BYTES, BYTES = 1 << 20, (1 << 26, 1 << 25)
 #: Sequences for fitting: tokens on either side, marked tokens of a document, random tokens of a clean one.
 REACH, HITS, RANDOM = 8, 6, 2
 #: Hashed features, tokens of a stretch, overlap, words that a task remembers.
@@ -235,14 +236,16 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE) -> Field:
-    """Fits on at most ``sample[label]`` ids of each label that aren't held out; reads docs once."""
+def train(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE, size: tuple[int, int] = BYTES) -> Field:
+    """Fits on at most ``sample[label]`` ids and ``size[label]`` bytes of each label that aren't held out; reads docs once."""
     labelled = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & ~held_out())
     labelled = labelled.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most").drop("most")
     picked = [labelled.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample[y]) for y in (0, 1)]
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") <= ROW_BYTES)
     found = found.join(F.broadcast(picked[0].union(picked[1])), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic"))
-    rows = sorted(found.collect(), key=lambda r: r["doc_id"])
+    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    found = found.withColumn("so_far", F.sum(F.octet_length("text")).over(order)).where(F.col("so_far") <= F.when(F.col("toxic") == 1, size[1]).otherwise(size[0]))
+    rows = sorted(found.select("doc_id", "text", "toxic").collect(), key=lambda r: r["doc_id"])
     texts, known = [r["text"] for r in rows], [r["toxic"] for r in rows]
     del rows
     return fit(texts, known)
