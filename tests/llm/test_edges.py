@@ -352,6 +352,21 @@ def test_sentencepiece_fuzz():
         assert ids == sp.encode(t) and one.decode(got) == sp.decode(ids)
 
 
+def test_sentencepiece_long_words():
+    """Words without spaces part where no piece spans: blobs, joined prose, runs of one sign, signs without a piece."""
+    import base64
+    import random
+
+    import sentencepiece
+
+    sp, one = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_sa.model_path()), sentencepiece_sa.Codec(sentencepiece_sa.model_path())
+    r = random.Random(5)
+    blob = base64.b64encode(r.randbytes(90_000)).decode()
+    made = [blob, "x" + blob[:5000] + " " + blob[777:9000], prose(6, 4000).replace(" ", ""), "ab" * 3000 + "é日🙂" * 400, "=" * 7000, "a\x00b" * 500, "🙂" * 900]
+    for t, got in zip(made, one.encode(made), strict=True):
+        assert np.frombuffer(got, dtype="<u2").tolist() == sp.encode(t)
+
+
 # --- 7 ---
 
 

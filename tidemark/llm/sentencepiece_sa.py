@@ -190,8 +190,13 @@ class Codec:
         place = np.concatenate([place, char_at[lone]])
         length = np.concatenate([length, char_len[lone]])
         token = np.concatenate([token, np.full(len(lone), self.unknown, dtype=np.int64)])
-        owner = np.searchsorted(begin, place, side="right") - 1
-        step = place - begin[owner]
+        # No merge crosses a place that no piece spans, so words part there; steps are as many as the longest part has.
+        spans = np.cumsum(np.bincount(place + 1, minlength=len(data) + 1) - np.bincount(place + length, minlength=len(data) + 1))
+        part = np.flatnonzero(spans[: len(data)] == 0)
+        owner = np.searchsorted(begin, part, side="right") - 1
+        inside = part < begin[owner] + size[owner]  # not the separators
+        part, owner = part[inside], owner[inside]
+        step = place - part[np.searchsorted(part, place, side="right") - 1]
         order = np.argsort(step, kind="stable")
         place, length, token, step = place[order], length[order], token[order], step[order]
         last, origin = np.full(len(data) + 1, -1, dtype=np.int64), np.zeros(len(data) + 1, dtype=np.int64)
@@ -204,14 +209,14 @@ class Codec:
                 use = use[self._stay_apart(ends_here[use], t[use])]
                 p, t, n = p[use], t[use], n[use]
             last[p + n], origin[p + n] = t, p
-        # Back from each word's end, all words at a time.
-        at, found = begin + size, []
-        live = np.flatnonzero(size > 0)
+        # Back from each part's end, all parts at a time.
+        at, found = np.minimum(np.append(part[1:], len(data)), begin[owner] + size[owner]), []
+        live = np.arange(len(part))
         while len(live):
             here = at[live]
             found.append((origin[here], last[here]))
             at[live] = origin[here]
-            live = live[at[live] > begin[live]]
+            live = live[at[live] > part[live]]
         where, ids = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
         order = np.argsort(where, kind="stable")
         where, ids = where[order], ids[order]
