@@ -9,9 +9,10 @@ import numpy as np
 import pytest
 from llm_samples import prose
 from pyspark.sql import functions as F
-from test_edges import brute_groups
+from test_edges import brute_groups, plain_groups
 
 from tidemark.llm import packing, pii, toxicity
+from tidemark.llm.common import stored
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -117,6 +118,34 @@ def test_run_equals_the_stages(spark, corpus):
     assert [a for a, _ in at] == np.concatenate([[0], np.cumsum([n for _, n in at])[:-1]]).tolist()
 
 
+def test_awkward_rows(spark, docs, nasty, tmp_path):
+    """Null ids, repeated rows, null and very long texts, clashing columns, labels without any clean or toxic row."""
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, None, None), (0, 1, None), (0, 1, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    told = lambda rows: sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or ""))
+    rows, held, folder = told((x[0], x[1]) for x in nasty), spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)
+
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        held = stored(stage(spark, held, folder), "held")
+        assert tuple(held.columns) == corpus_pipeline.COLUMNS
+        if name == "near-dedup":
+            kept = [k for *_, k in plain_groups([(i, t or "") for i, t in rows], 5)]
+            rows = told({x for x, k in zip(rows, kept, strict=True) if k})
+        elif name == "suffix-array-dedup":
+            cut = brute_cut([(-1 if i is None else i, t) for i, t in rows])
+            rows = told((None if i == -1 else i, t) for i, t in cut)
+        elif name == "pii":
+            model = pii.train()
+            rows = told((i, t if t is None else pii.redacted(t, pii.spans_of(t, *model)[1])) for i, t in rows)
+        assert told((r["doc_id"], r["text"]) for r in held.collect()) == rows, name
+
+    encode = packing.encoder(packing.tokenizer_path())
+    got = Counter()
+    for r in corpus_pipeline.run(spark, folder).collect():
+        got[r["doc_id"]] += r["length"]
+    assert got == Counter({i: len(encode([t or ""])[0]) // 2 + 1 for i, t in rows})
+
+
 def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
