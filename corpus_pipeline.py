@@ -3,6 +3,12 @@
 Every stage takes (spark, docs, sf_dir) and the documents that its predecessor kept, and returns
 the documents' columns; the last returns the pieces of the packed sequences. Between stages the
 rows are written as Parquet and read again, which cuts the lineage.
+
+Defined cases: null and empty texts pass every stage and pack as their end sign alone; texts may
+have any length; rows without an id are scored, linked, cut (as coming before all others),
+redacted and packed like the rest; rows that repeat an id with a text stay once, unless the text
+has no word; columns beyond the documents' own, whatever their names, are left out by the first
+stage; without labels of either kind nothing is toxic; empty tables give no pieces.
 """
 
 from __future__ import annotations
