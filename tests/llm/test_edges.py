@@ -551,6 +551,46 @@ def test_bands_and_estimate_follow_the_limit(spark, nothing):
     assert table(near_dedup.groups(df, 2, 50)) == sorted(brute_groups(rows, 2, 50), key=str)
 
 
+def test_marked_rows(spark, monkeypatch):
+    from tidemark.llm import grouping
+
+    r = np.random.default_rng(8)
+    rows = spark.range(0, 3000, 1, 5).withColumn("rid", F.when(F.col("id") == 7, None).otherwise(F.monotonically_increasing_id()))
+    numbers = [x["rid"] for x in rows.collect() if x["rid"] is not None]
+    some = [*r.choice(numbers, 800).tolist(), *numbers[:130], numbers[-1], 1 << 50]
+    ids = spark.createDataFrame([(i,) for i in some], "rid long")
+    for most in (grouping.MARKS, 0):
+        monkeypatch.setattr(grouping, "MARKS", most)
+        assert sorted(x["rid"] for x in grouping.marked(rows, ids, "rid").collect()) == sorted(set(some) & set(numbers))
+    assert grouping.marked(rows, ids.where("rid < 0"), "rid").count() == 0
+
+
+def test_texts_stay_in_near_dedup(spark, monkeypatch):
+    """No join shuffles the texts, whatever its sides' sizes, but for those of candidate clusters."""
+    from tidemark.llm import grouping
+
+    plans, plain = [], near_dedup.stored
+
+    def told(df):
+        modes = spark._jvm.org.apache.spark.sql.execution.ExplainMode
+        return df._jdf.queryExecution().explainString(modes.fromString("formatted"))
+
+    for module in (near_dedup, grouping):
+        monkeypatch.setattr(module, "stored", lambda df, tag: plans.append((tag, told(df))) or plain(df, tag))
+    docs = spark.createDataFrame([(i, prose(i % 9, 60 + i % 2)) for i in range(40)], "doc_id long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = near_dedup.deduplicated(docs)
+        plans.append(("result", told(kept)))
+        assert kept.count() == 9
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved = [(tag, m) for tag, p in plans for m in re.findall(r"\) Exchange\nInput \[\d+\]: \[([^\]]*)\]", p)]
+    assert any(tag == "copies" for tag, _ in moved)
+    assert {tag for tag, m in moved if re.search(r"\btext#", m)} <= {"clustered"}
+    assert all("LeftSemi" in p or "Left Semi" in p or "left_semi" in p.lower() for tag, p in plans if tag == "clustered")
+
+
 def test_a_large_group_of_near_copies(spark):
     import random
 

@@ -16,6 +16,8 @@ from .common import erase, process_memory, put, stored
 BLOCK = 256
 #: A key of so many rows is heavy; at most so many keys are.
 HEAVY, MOST = 256, 20_000
+#: Words of 64 marks that are broadcast at most, 64 MB or so in memory.
+MARKS = 1 << 20
 
 
 def by_group(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.Table]:
@@ -68,6 +70,20 @@ def joined(rows: DataFrame, table: DataFrame, keys: list[str], sizes: DataFrame
     return light.join(table, keys, how).unionByName(dense.join(few, keys, how))
 
 
+def marked(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """The rows whose number in ``column`` is one of ids, which has that column too.
+
+    Numbers that monotonically_increasing_id() gave lie close together, so ids are kept as bits, 64
+    to a word. Up to MARKS words (67 million rows if most are marked) are broadcast, and rows stay
+    where they are; more words meet the rows by shuffle.
+    """
+    bits = ids.groupBy(F.shiftright(column, 6).alias("__word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({column} & 63 AS int))")).alias("__bits"))
+    bits = stored(bits, "marks")
+    bits = F.broadcast(bits) if bits.count() <= MARKS else bits
+    among = (F.shiftright(column, 6) == F.col("__word")) & (F.expr(f"getbit(__bits, cast({column} & 63 AS int))") == 1)
+    return rows.join(bits, among, "left_semi")
+
+
 def in_blocks(rows: DataFrame, group: str, node: str, size: str, centre: str, block: int = BLOCK) -> DataFrame:
     """Deals each group's rows to blocks (group, i, j = i) of about ``block`` rows, each once; the
     group's centre (a boolean column) goes to all of its blocks.

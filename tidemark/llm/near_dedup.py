@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import map_arrow, read, splitmix, stored
-from .grouping import BLOCK, MOST, across, components, heaviest, in_blocks, joined, linked, main_labels
+from .grouping import BLOCK, MOST, across, components, heaviest, in_blocks, joined, linked, main_labels, marked
 from .shingles import chunks, shingles
 from .superminhash import bands, signatures
 
@@ -205,8 +205,9 @@ def _verified(clusters: DataFrame, texts: DataFrame, words: int, limit: int) ->
     clusters = clusters.select("node", F.col("label").alias("cluster"))
     sizes = stored(clusters.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")), "sizes")
     told = heaviest(sizes)
-    # The texts of clustered classes, once: they serve both rounds.
-    rows = stored(joined(clusters, sizes.withColumnRenamed("n", "size"), ["cluster"], sizes, told=told).join(texts, "node"), "clustered")
+    # The texts of clustered classes, once: they serve both rounds. Those of no cluster don't travel.
+    inside = marked(texts, clusters, "node")
+    rows = stored(joined(clusters, sizes.withColumnRenamed("n", "size"), ["cluster"], sizes, told=told).join(inside, "node"), "clustered")
     sets = _sets(rows, words).withColumn("label", F.col("node")).withColumn("centre", F.col("node") == F.col("cluster"))
     true = stored(linked(in_blocks(sets, "cluster", "node", "size", "centre"), "cluster", _exact(limit)), "true")
     if told[1] <= BLOCK:
@@ -219,9 +220,9 @@ def _verified(clusters: DataFrame, texts: DataFrame, words: int, limit: int) ->
     return components(true.union(stored(linked(across(left, "cluster", "node"), "cluster", _exact(limit)), "true")))
 
 
-def _answered(docs: DataFrame, words: int, limit: int) -> DataFrame:
-    """The rows of docs as stored (rid, doc_id, text, rest, n_shingles, ...) with group (null for an
-    empty set) and component_id."""
+def _answered(docs: DataFrame, words: int, limit: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of docs as stored (rid, doc_id, text, rest, ...), and for each of them rid, doc_id,
+    n_shingles, h (the text's hash), group (null for an empty set) and component_id."""
     per_band, least = plan(limit)
     more = [c for c in docs.columns if c not in ("doc_id", "text")]
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (F.struct(*more) if more else F.lit(None).cast("int")).alias("rest"))
@@ -234,23 +235,24 @@ def _answered(docs: DataFrame, words: int, limit: int) -> DataFrame:
     ids = _labelled(copies.select("d1", "d2", "node", "first_id"), true)
     least_id = stored(ids.groupBy("label").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "ids")
     named = joined(ids, least_id.select("label", "component_id"), ["label"], least_id).select("d1", "d2", F.col("label").alias("group"), "component_id")
-    full = joined(rows.where("n_shingles > 0"), named, ["d1", "d2"], copies)
-    return full.unionByName(rows.where("n_shingles = 0").withColumn("group", F.lit(None).cast("long")).withColumn("component_id", F.col("doc_id")))
+    light = rows.select("rid", "doc_id", "n_shingles", F.xxhash64("text").alias("h"), "d1", "d2")  # no text goes through the join
+    full = joined(light.where("n_shingles > 0"), named, ["d1", "d2"], copies)
+    return rows, full.unionByName(light.where("n_shingles = 0").withColumn("group", F.lit(None).cast("long")).withColumn("component_id", F.col("doc_id")))
 
 
 def groups(docs: DataFrame, words: int = WORDS, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
-    out = _answered(docs.select("doc_id", "text"), words, limit).select("doc_id", "n_shingles", "component_id")
+    out = _answered(docs.select("doc_id", "text"), words, limit)[1].select("doc_id", "n_shingles", "component_id")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def deduplicated(docs: DataFrame, words: int = WORDS, limit: int = LIMIT) -> DataFrame:
     """One row of each group of docs, with all columns, and all rows with empty sets."""
-    rows = _answered(docs, words, limit)
-    least = rows.where(F.col("group").isNotNull() & F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("group").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "rid")).alias("least"))
-    picked = stored(least.select("least.rid").union(rows.where(F.col("group").isNull()).select("rid")), "picked")
+    rows, told = _answered(docs, words, limit)
+    least = told.where(F.col("group").isNotNull() & F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("group").agg(F.min(F.struct("h", "rid")).alias("least"))
+    picked = least.select("least.rid").union(told.where(F.col("group").isNull()).select("rid"))
     own = {"doc_id": F.col("doc_id"), "text": F.col("text")}
-    return rows.join(picked, "rid", "left_semi").select(*[own[c].alias(c) if c in own else F.col("rest")[c].alias(c) for c in docs.columns])
+    return marked(rows, picked, "rid").select(*[own[c].alias(c) if c in own else F.col("rest")[c].alias(c) for c in docs.columns])
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
