@@ -222,6 +222,48 @@ def test_packing(docs, nothing, nasty):
     assert packing.packed(nothing).count() == 0
 
 
+def test_packing_encodes_words_in_bulk(monkeypatch):
+    import pyarrow as pa
+    import tokenizers
+
+    calls, plain = [], tokenizers.Tokenizer
+
+    class Told:
+        def __init__(self, tok):
+            self.__dict__["tok"] = tok
+
+        def __getattr__(self, name):
+            return getattr(self.tok, name)
+
+        def __setattr__(self, name, value):
+            setattr(self.tok, name, value)
+
+        def encode_batch_fast(self, texts, **more):
+            calls.append(len(texts))
+            return self.tok.encode_batch_fast(texts, **more)
+
+        from_file = staticmethod(lambda path: Told(plain.from_file(path)))
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", Told)
+    encode = packing._encoder(packing.tokenizer_path())
+    lines = [" ".join(f"{w}{m}" for w in prose(i, 300).translate(str.maketrans("0123456789", "abcdefghij")).split() for m in ("", "###", ",&&&", ".%%%", "$*")) for i in range(8)]
+    lines += ["", " ", "İSTANBUL ΣΑΣ ﬁ", "x²,, Ⅷ!! a'b it's don't.", "\u212a \u212b ẞ Ÿ µ ª º straße. ÷x x÷", "日本語 🙂.. e\u0301 e\u0301. \x85 \x1c\x1fa", "Привет, МИР!!", "12,3 a1 1a.", "  lead", "tail\t\n", "#### ...", "a\u0301b,", "\u1100\u1161\u11a8", "\x00a", "ΑΣ. Σ", "A.B,", "ǅ ǆ ῼ", "z" * 3000]
+    ids, n = encode(pa.array(lines))
+    cuts = [0, *np.cumsum(n).tolist()]
+    assert sum(calls) < 100
+    tok = plain.from_file(packing.tokenizer_path())
+    assert [ids[a:b].tolist() for a, b in zip(cuts, cuts[1:])] == [tok.encode(t, add_special_tokens=False).ids for t in lines]
+    for few in ([], [""], ["#"], ["word"]):
+        ids, n = encode(pa.array(few, pa.string()))
+        assert [ids.tolist()] == ([tok.encode(t, add_special_tokens=False).ids for t in few] or [[]]) and len(n) == len(few)
+
+
+def test_packing_in_portions(docs, monkeypatch):
+    whole = table(packing.tokenized(docs, packing.tokenizer_path()))
+    monkeypatch.setattr(packing, "PORTION", 1000)
+    assert table(packing.tokenized(docs, packing.tokenizer_path())) == whole
+
+
 # --- 5 ---
 
 
