@@ -1,6 +1,7 @@
 """Every operator on nulls, blanks, long texts, copies, clashing columns and an empty table, against brute force."""
 
 import hashlib
+import os
 import re
 import zlib
 from collections import Counter
@@ -465,6 +466,23 @@ def test_toxicity_sample(spark):
     assert scored == rows.count() - toxicity.scored(rows, want).where("score >= 0.5").count()
 
 
+def test_toxicity_fits_in_a_task(spark, monkeypatch):
+    """The driver gets the weights alone, those that fitting in its own process gives."""
+    rows, labels = _labelled(spark)
+    usable = rows.join(labels, "doc_id").where(~toxicity.held_out()).orderBy("doc_id").collect()
+    want = toxicity.fit([r["text"] for r in usable], [r["toxic"] for r in usable])
+    fit, here = toxicity.fit, os.getpid()
+
+    def elsewhere(*args):
+        assert os.getpid() != here
+        return fit(*args)
+
+    monkeypatch.setattr(toxicity, "fit", elsewhere)
+    got = toxicity.train(rows.repartition(5), labels)
+    assert got.weight.dtype == want.weight.dtype and got.bias == want.bias
+    assert all(np.array_equal(a, b) for a, b in ((got.weight, want.weight), (got.move, want.move), (got.document, want.document)))
+
+
 def test_stretches_equal_one_pass():
     field = toxicity.Field()
     field.move = np.array([[0.7, -1.2], [-0.4, 0.9]])

@@ -12,7 +12,8 @@ as far as their whole texts come to BYTES, texts of more than ROW_BYTES aside, s
 bytes grow with the corpus. Long texts belong in it: they hold most of the clean words that look
 like markers. The field's sequences are the surroundings (REACH) of the first HITS marked tokens of each
 sampled document, and of RANDOM other tokens of clean ones; the document score is fitted on whole
-sampled texts. Scoring covers every text whole, in one pass without a shuffle. Texts are
+sampled texts. One task fits, so the driver gets the weights (1 MB) and no text.
+Scoring covers every text whole, in one pass without a shuffle. Texts are
 cut into stretches of STRETCH tokens that overlap by WARM; the chain forgets geometrically, so
 this equals one long pass to within rounding.
 
@@ -24,11 +25,11 @@ one part in a thousand for all; other columns are never inputs of a score.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import process_memory, read
@@ -43,6 +44,7 @@ REACH, HITS, RANDOM = 8, 6, 2
 DIM, STRETCH, WARM, MEMORY = 1 << 18, 2048, 64, 400_000
 #: A marker: log-odds of a feature between toxic and clean documents, and contexts it is seen in.
 ODDS, CONTEXTS = 3.5, 5
+_FIELD = "weight binary, bias double, move array<double>, document array<double>"
 _EDGE = b" \t\n\x0b\x0c\r.,;:!?\"'()[]{}|*#$%&<>-_"
 
 
@@ -68,6 +70,19 @@ class Field:
         self.move = np.zeros((2, 2))  # log-potential of label i followed by label j
         self.document = np.array([-2.0, 0.0, 0.0])
 
+    def told(self) -> pa.RecordBatch:
+        """One row of the schema _FIELD."""
+        lists = [pa.array([x.ravel().tolist()], pa.list_(pa.float64())) for x in (self.move, self.document)]
+        return pa.RecordBatch.from_arrays([pa.array([self.weight.tobytes()], pa.binary()), pa.array([float(self.bias)]), *lists], names=["weight", "bias", "move", "document"])
+
+    @classmethod
+    def of(cls, row: Row) -> Field:
+        """The field that told() gave."""
+        field = cls()
+        field.weight, field.bias = np.frombuffer(bytes(row["weight"]), dtype=np.float32), row["bias"]
+        field.move, field.document = np.array(row["move"]).reshape(2, 2), np.array(row["document"])
+        return field
+
     def emission(self, word: str) -> float:
         return float(self.weight[[c & (DIM - 1) for c in codes(word)]].sum()) + self.bias
 
@@ -135,7 +150,7 @@ def _markers(docs: list[np.ndarray], toxic: np.ndarray, table: np.ndarray) -> np
     return found[n >= CONTEXTS].astype(table.dtype)
 
 
-def fit(texts: list[str | None], labels: list[int], rounds: int = 80, seed: int = 7) -> Field:
+def fit(texts: Iterable[str | None], labels: list[int], rounds: int = 80, seed: int = 7) -> Field:
     """A field from whole texts and their labels."""
     field, rng = Field(), np.random.default_rng(seed)
     toxic = np.array(labels, dtype=np.int64)
@@ -245,13 +260,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE,
     found = found.join(F.broadcast(picked[0].union(picked[1])), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic"))
     order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     found = found.withColumn("so_far", F.sum(F.octet_length("text")).over(order)).where(F.col("so_far") <= F.when(F.col("toxic") == 1, size[1]).otherwise(size[0]))
-    rows = sorted(found.select("doc_id", "text", "toxic").collect(), key=lambda r: r["doc_id"])
-    texts, known = [r["text"] for r in rows], [r["toxic"] for r in rows]
-    del rows
-    field = fit(texts, known)
-    del texts
-    process_memory(None)  # gives back what fitting took, 150 MB or so, before the driver goes on
-    return field
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        process_memory(None)
+        held = list(batches)
+        if held:
+            field = fit((t.as_py() for b in held for t in b.column(1)), [y for b in held for y in b.column(2).to_pylist()])
+            del held
+            process_memory(None)  # gives back what fitting took, before the worker serves other tasks
+            yield field.told()
+
+    # In one task: the sample is bounded, and texts and fitting would be in the way of the driver, which plans all stages.
+    row = found.select("doc_id", "text", "toxic").repartition(1).sortWithinPartitions("doc_id").mapInArrow(run, _FIELD).first()
+    return Field.of(row) if row else fit([], [])
 
 
 # --- scoring --------------------------------------------------------------------------------
